@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, packing, simhash
+from lexigrain.llm import bpe, fingerprints, packing, simhash
 from lexigrain.llm.common import small_batches
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text(F.col("sig")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        fingerprints.likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -40,6 +53,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op8_bpe": op8_bpe,
