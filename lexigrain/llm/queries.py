@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, fingerprints, packing, simhash
-from lexigrain.llm.common import small_batches
+from lexigrain.llm import bpe, fingerprints, html, neighbours, packing, simhash, warc
+from lexigrain.llm.common import scratch_path, small_batches
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.tokenise_and_pack(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
     return decoded.select(
@@ -52,11 +56,26 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    rows = warc.parse_records(warc.read_archive(spark, path))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.extract_pages(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
+    "op7_neighbours": op7_neighbours,
     "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
