@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,15 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.common import gear_hashes, id_text
 
-_JOIN = re.compile(r"(?<=\S)(?= \S)")
+_JOIN = re.compile(r"(?<=\S)(?= \S)")  # the safe points
 _FIRST = re.compile(r"\S(?= \S)")
+_LAST = re.compile(r".*\S(?= \S)", re.S)
+# In texts of these characters without double white space the pre-tokens are known; all others are cut at safe points only.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIGN = r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(f"[{_LETTER}0-9{_SIGN} \n]*")
+_DOUBLE = re.compile(r"[ \n][ \n]|[ \n]\Z")
+_PIECES = _PLAIN = re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n")
 
 
 def load_tokenizer(path: str):
@@ -49,46 +58,88 @@ def load_tokenizer(path: str):
     return tok
 
 
-class Store:
-    """A dictionary of at most ``limit`` entries; the older half goes first."""
+def trimmed(store: dict, limit: int) -> dict:
+    """The newer half of a store of more than ``limit`` entries, in a new dictionary."""
+    return dict(islice(store.items(), len(store) // 2, None)) if len(store) > limit else store
 
-    def __init__(self, limit: int):
-        self.half, self.young, self.old = max(1, limit // 2), {}, {}
 
-    def get(self, key):
-        v = self.young.get(key)
-        if v is None and (v := self.old.get(key)) is not None:
-            self.put(key, v)
-        return v
+def byte_letters() -> dict[str, int]:
+    """The characters that byte-level vocabularies write for the 256 bytes."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def merge_core(tok):
+    """The vocabulary of ``tok`` for single pre-tokens, and the mark that ends them.
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    Merging by the ids of whole tokens gives what merging by pairs gives, as
+    long as each token encodes to itself: while a span is cut off from its
+    surroundings, only one order of merges is possible within it.  In
+    vocabularies with word ends, byte 0xFF, which no text holds, is the end.
+    """
+    import tiktoken
+
+    letters, suffix = byte_letters(), tok.model.end_of_word_suffix or ""
+    added = {t.content for t in tok.get_added_tokens_decoder().values()}
+    ranks = {}
+    for token, i in tok.get_vocab(with_added_tokens=True).items():
+        if token not in added:
+            end = bool(suffix) and token.endswith(suffix)
+            body = token[: -len(suffix)] if end else token
+            ranks[bytes(letters[c] for c in body) + b"\xff" * end] = i
+    core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return core, b"\xff" if suffix else b""
 
 
 class PieceEncoder:
-    """Ids (little-endian unsigned 32-bit) of pieces that encode on their own."""
+    """Ids (little-endian unsigned 32-bit) of pieces that encode on their own.
+
+    ``plain`` matches the pieces that are a pre-token as they stand; all others
+    go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, limit: int, plain: re.Pattern = _PLAIN):
+        self.tok, self.limit, self.plain, self.store = load_tokenizer(path), limit, plain, {"": b""}
+        self.core, self.end = merge_core(self.tok)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Encodes what is new in the lists; older entries may go."""
+        self.store = trimmed(self.store, self.limit)
+        store, single, plain, end, rest = self.store, self.core.encode_single_piece, self.plain.fullmatch, self.end, []
+        for p in set().union(*lists).difference(store):
+            if plain(p):
+                store[p] = array("I", single(p.encode() + end)).tobytes()
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                store[p] = array("I", e.ids).tobytes()
+
+    def ids(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.store.__getitem__, pieces))
 
-    def __init__(self, path: str, limit: int):
-        self.tok, self.store = load_tokenizer(path), Store(limit)
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text that starts and ends at a safe point or an end of the document."""
+        if _SIMPLE.fullmatch(text) and not _DOUBLE.search(text) and not any(t in text for t in self.added):
+            return _PIECES.findall(text)
+        return _JOIN.split(text)
 
-    def encode(self, pieces: list[str]) -> bytes:
-        get, young = self.store.get, self.store.young.get
-        found = [young(p) or get(p) for p in pieces]
-        if None in found:
-            missing = list({p for p, v in zip(pieces, found, strict=True) if v is None})
-            new = {}
-            for p, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                new[p] = np.array(e.ids, "<u4").tobytes()
-                self.store.put(p, new[p])
-            found = [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-        return b"".join(found)
+
+class Chunk:
+    """Text before the first safe point, pieces and then ids up to the last one, text from there on."""
+
+    __slots__ = ("head", "pieces", "ids", "tail")
+
+    def __init__(self, head: str, pieces: list[str] | None, tail: str):
+        self.head, self.pieces, self.ids, self.tail = head, pieces, None, tail
 
 
 class ChunkEncoder:
     def __init__(self, path: str, mean_bytes: int, max_pieces: int, max_chunks: int):
-        self.pieces, self.chunks = PieceEncoder(path, max_pieces), Store(max_chunks)
+        self.pieces, self.chunks, self.max_chunks = PieceEncoder(path, max_pieces), {}, max_chunks
         self.limit = np.uint32((1 << 32) // mean_bytes)
 
     def cuts(self, data: np.ndarray) -> list[int]:
@@ -97,42 +148,47 @@ class ChunkEncoder:
         at = at[at < len(data)]
         return [*at[(data[at] & 0xC0) != 0x80].tolist(), len(data)]
 
-    def chunk(self, raw: bytes) -> tuple[str, bytes, str] | tuple[str]:
-        """(text before the first safe point, ids up to the last one, text from there), or (text,)."""
+    def chunk(self, raw: bytes) -> Chunk:
         key = xxhash.xxh3_128_digest(raw)
         if (known := self.chunks.get(key)) is None:
             text = raw.decode("utf-8")
             if m := _FIRST.search(text):
-                parts = _JOIN.split(text[m.end() :])
-                known = (text[: m.end()], self.pieces.encode(parts[:-1]), parts[-1])
+                last = _LAST.match(text).end()
+                known = Chunk(text[: m.end()], self.pieces.split(text[m.end() : last]), text[last:])
             else:
-                known = (text,)
-            self.chunks.put(key, known)
+                known = Chunk(text, None, "")
+            self.chunks[key] = known
         return known
 
-    def encode(self, text: str) -> bytes:
+    def parts(self, text: str) -> list[Chunk | list[str]]:
+        """A text as chunks and, between them, the pieces of the repaired joins."""
         raw = text.encode("utf-8")
-        if not raw:
-            return b""
         out, start, window = [], 0, ""
-        for end in self.cuts(np.frombuffer(raw, np.uint8)):
+        for end in self.cuts(np.frombuffer(raw, np.uint8)) if raw else ():
             part = self.chunk(raw[start:end])
-            window += part[0]
-            if len(part) == 3:
-                out += [self.pieces.encode(_JOIN.split(window)), part[1]]
-                window = part[2]
+            window += part.head
+            if part.pieces is not None or part.ids is not None:
+                out += [self.pieces.split(window), part]
+                window = part.tail
             start = end
-        return b"".join([*out, self.pieces.encode(_JOIN.split(window))])
+        return [*out, self.pieces.split(window)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.chunks = trimmed(self.chunks, self.max_chunks)
+        texts = [self.parts(t) for t in texts]
+        new = {id(p): p for parts in texts for p in parts if isinstance(p, Chunk) and p.ids is None}.values()
+        self.pieces.learn([*(p.pieces for p in new), *(p for parts in texts for p in parts if isinstance(p, list))])
+        for p in new:
+            p.ids, p.pieces = self.pieces.ids(p.pieces), None
+        return [b"".join([p.ids if isinstance(p, Chunk) else self.pieces.ids(p) for p in parts]) for parts in texts]
 
 
 def token_bytes(path: str) -> list[bytes]:
     """The bytes each id of a byte-level vocabulary stands for."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = {c: bytes([c]) for c in printable}
-    shown |= {256 + i: bytes([b]) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    shown = {c: bytes([b]) for c, b in byte_letters().items()}
     tok = load_tokenizer(path)
     known = {i: t for t, i in tok.get_vocab(with_added_tokens=True).items()}
-    return [b"".join(shown.get(ord(c), c.encode()) for c in known.get(i, "")) for i in range(max(known) + 1)]
+    return [b"".join(shown.get(c, c.encode()) for c in known.get(i, "")) for i in range(max(known) + 1)]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -156,7 +212,7 @@ def encode(
             _ENCODERS[key] = ChunkEncoder(*key)
         enc = _ENCODERS[key]
         for b in batches:
-            ids = [enc.encode(t) for t in b.column(1).to_pylist()]
+            ids = enc.encode(b.column(1).to_pylist())
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 

@@ -18,6 +18,7 @@ null; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -31,11 +32,24 @@ from lexigrain.llm.bpe import PieceEncoder
 from lexigrain.llm.common import id_text, materialise
 
 _SPACES = str.maketrans("\n\t\r", "   ")
+# In texts of these characters the pre-tokens are known; all others are cut at ASCII white space only.
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_SIGN = r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(f"[{_LETTER}0-9{_SIGN} \t\n\r]*")
+_WORDS = re.compile(f"[{_LETTER}]+|[0-9]|[{_SIGN}]+")
 _PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 _ITEM = f"size int, pieces array<{_PIECE}>"
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
+def split_words(text: str, added: list[str]) -> list[str]:
+    """Pieces that a tokenizer which lowers case and drops white space encodes on their own."""
+    low = text.lower()
+    if _SIMPLE.fullmatch(low) and not any(t in low for t in added):
+        return _WORDS.findall(low)
+    return text.translate(_SPACES).split(" ")
+
+
 def tokenise(
     docs: DataFrame,
     tokenizer_path: str,
@@ -47,19 +61,21 @@ def tokenise(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), one row per piece.
 
-    For tokenizers that drop white space: words between ASCII white space are
-    encoded on their own and kept in a bounded store.
+    For tokenizers that lower case and drop white space: words are encoded on
+    their own and kept in a bounded store.
     """
     key = (tokenizer_path, max_words)
 
     def run(batches):
         if key not in _ENCODERS:
-            _ENCODERS[key] = PieceEncoder(*key)
+            _ENCODERS[key] = PieceEncoder(*key, plain=_WORDS)
         enc, end = _ENCODERS[key], np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text.translate(_SPACES).split(" ")) + end
+            words = [split_words(t, enc.added) for t in b.column(1).to_pylist()]
+            enc.learn(words)
+            for doc_id, own in zip(b.column(0).to_pylist(), words, strict=True):
+                ids = enc.ids(own) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
