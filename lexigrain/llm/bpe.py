@@ -27,7 +27,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import gear_hashes, id_text
+from lexigrain.llm.common import gear_hashes, id_text, trimmed
 
 _JOIN = re.compile(r"(?<=\S)(?= \S)")  # the safe points
 _FIRST = re.compile(r"\S(?= \S)")
@@ -58,11 +57,6 @@ def load_tokenizer(path: str):
     return tok
 
 
-def trimmed(store: dict, limit: int) -> dict:
-    """The newer half of a store of more than ``limit`` entries, in a new dictionary."""
-    return dict(islice(store.items(), len(store) // 2, None)) if len(store) > limit else store
-
-
 def byte_letters() -> dict[str, int]:
     """The characters that byte-level vocabularies write for the 256 bytes."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]

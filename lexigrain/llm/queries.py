@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, fingerprints, html, neighbours, packing, simhash, warc
+from lexigrain.llm import bpe, fingerprints, html, licenses, neighbours, packing, quality, simhash, substrings, warc
 from lexigrain.llm.common import scratch_path, small_batches
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,10 +38,43 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licenses"),
+        F.size("licences").cast("long").alias("n_licenses"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.tokenise_and_pack(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "row.doc_id",
+        F.col("kept_text").alias("text"),
+        F.length("kept_text").cast("long").alias("n_chars"),
+        (F.length(F.coalesce("row.text", F.lit(""))) - F.length("kept_text")).cast("long").alias("n_removed"),
+        "spans",
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    rows = quality.score(docs, model)
+    return rows.select(
+        "doc_id",
+        quality.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -71,11 +104,37 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_packing": op4_packing,
+    "op5_substrings": op5_substrings,
+    "op6_quality": op6_quality,
     "op7_neighbours": op7_neighbours,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# DuckDB has neither XXH64 with a seed, nor the tokenizers, models, HTML parsing or
+# SHA-1; these operators are tested against brute force, round trips and held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": """
+        WITH notice(sentence, sid, name) AS (VALUES
+            ('This work is licensed under the GNU General Public License, version 3.', 'gpl-3-notice', 'GPL-3.0'),
+            ('Licensed under CC BY-NC 4.0.', 'cc-by-nc-4-notice', 'CC-BY-NC-4.0'),
+            ('Released under the MIT License.', 'mit-notice', 'MIT'),
+            ('Licensed under the Apache License, Version 2.0.', 'apache-2-notice', 'Apache-2.0')),
+        line AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+            FROM documents),
+        hit AS (SELECT doc_id, k, sid, name FROM line JOIN notice ON trim(line) = sentence)
+        SELECT d.doc_id,
+               coalesce(string_agg(sid, ',' ORDER BY k), '') AS sentence_ids,
+               coalesce(string_agg(name, ',' ORDER BY k) FILTER (WHERE first), '') AS licenses,
+               count(*) FILTER (WHERE first) AS n_licenses
+        FROM documents d LEFT JOIN (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY k) = 1 AS first FROM hit
+        ) USING (doc_id)
+        GROUP BY d.doc_id
+    """,
+}
