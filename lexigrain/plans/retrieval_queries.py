@@ -143,7 +143,7 @@ def _(t: Inputs):
 
 @query("R15_targeted_clauses", """
     SELECT run_id, seq, array_to_string(list_filter([CASE WHEN regexp_matches(lower(query), 'the|der') THEN 'governing_law' END,
-        CASE WHEN regexp_matches(lower(query), 'and|und') THEN 'parties' END], x -> x IS NOT NULL), ',') AS clause_types FROM {chat}""")
+        CASE WHEN regexp_matches(lower(query), 'and|und') THEN 'parties' END], lambda x: x IS NOT NULL), ',') AS clause_types FROM {chat}""")
 def _(t: Inputs):
     return op.targeted_clauses(t.chat, {"governing_law": "the|der", "parties": "and|und"})
 

@@ -241,7 +241,7 @@ def _(t: Inputs):
     n AS (SELECT *, sum(cast(valid AS int)) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS n,
                  greatest(0, char_start - 400) AS lo, least(size, least(char_end, char_start + 8000) + 400) AS hi FROM r),
     s AS (SELECT *, CASE WHEN NOT valid THEN 'out_of_bounds' WHEN n > 6 THEN 'read_limit' ELSE 'ok' END AS status FROM n)
-    SELECT run_id, seq, document_id, status, CASE WHEN status = 'ok' THEN lo END AS from_char, CASE WHEN status = 'ok' THEN hi END AS to_char,
+    SELECT run_id, seq, document_id, status, CASE WHEN status = 'ok' THEN lo::bigint END AS from_char, CASE WHEN status = 'ok' THEN hi::bigint END AS to_char,
            CASE WHEN status = 'ok' THEN md5(substring(text, lo + 1, hi - lo)) END AS digest FROM s""")
 def _(t: Inputs):
     r = ck.read_span(t.docs, t.reads)
