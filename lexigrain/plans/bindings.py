@@ -84,7 +84,7 @@ BINDINGS: dict[str, str] = {
         FROM {clauses} c CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) n
         WHERE c.seq < 12 AND (c.doc_id + c.seq + n.n) % 3 <> 0""",
     "turns": """
-        SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, event_id, event_type, ts,
+        SELECT user_id AS run_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS turn, event_id, event_type, ts,
                cast(event_id % 40 AS double) / 64 AS cost_usd,
                CASE WHEN event_id % 37 = 0 THEN NULL ELSE cast(event_id % 500 AS double) END AS model_ms,
                CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS retries

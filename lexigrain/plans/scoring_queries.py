@@ -43,22 +43,22 @@ WILSON = "({s}::double / {n} + 1.96 * 1.96 / (2 * {n}) {sign} 1.96 * sqrt(({s}::
 
 @query("A3_wilson_by_lang", f"""
     WITH c AS (SELECT lang, source, count(*) FILTER (WHERE actual AND predicted) AS s, count(*) FILTER (WHERE predicted) AS n FROM {{gold}} GROUP BY 1, 2)
-    SELECT lang, source, CASE WHEN n <= 0 THEN 0 ELSE greatest(0, {WILSON.format(s='s', n='n::double', sign='-')}) END AS low,
-           CASE WHEN n <= 0 THEN 1 ELSE least(1, {WILSON.format(s='s', n='n::double', sign='+')}) END AS high FROM c""")
+    SELECT lang, source, round(CASE WHEN n <= 0 THEN 0 ELSE greatest(0, {WILSON.format(s='s', n='n::double', sign='-')}) END, 9) AS low,
+           round(CASE WHEN n <= 0 THEN 1 ELSE least(1, {WILSON.format(s='s', n='n::double', sign='+')}) END, 9) AS high FROM c""")
 def _(t: Inputs):
     c = t.gold.groupBy("lang", "source").agg(F.count_if(F.col("actual") & F.col("predicted")).alias("s"), F.count_if("predicted").alias("n"))
     low, high = st.wilson("s", "n")
-    return c.select("lang", "source", low.alias("low"), high.alias("high"))
+    return c.select("lang", "source", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
 @query("A4_recall_interval", f"""
     WITH counts AS (SELECT source, {COUNTS} FROM {{gold}} GROUP BY 1)
-    SELECT source, tp + fn >= 10 AS interpretable, CASE WHEN tp + fn <= 0 THEN 0 ELSE greatest(0, {WILSON.format(s='tp', n='(tp + fn)::double', sign='-')}) END AS recall_low,
-           CASE WHEN tp + fn <= 0 THEN 1 ELSE least(1, {WILSON.format(s='tp', n='(tp + fn)::double', sign='+')}) END AS recall_high FROM counts""")
+    SELECT source, tp + fn >= 10 AS interpretable, round(CASE WHEN tp + fn <= 0 THEN 0 ELSE greatest(0, {WILSON.format(s='tp', n='(tp + fn)::double', sign='-')}) END, 9) AS recall_low,
+           round(CASE WHEN tp + fn <= 0 THEN 1 ELSE least(1, {WILSON.format(s='tp', n='(tp + fn)::double', sign='+')}) END, 9) AS recall_high FROM counts""")
 def _(t: Inputs):
     c = t.gold.groupBy("source").agg(*st.confusion(F.col("predicted"), F.col("actual")))
     low, high = st.wilson(F.col("tp"), F.col("tp") + F.col("fn"))
-    return c.select("source", (F.col("tp") + F.col("fn") >= 10).alias("interpretable"), low.alias("recall_low"), high.alias("recall_high"))
+    return c.select("source", (F.col("tp") + F.col("fn") >= 10).alias("interpretable"), F.round(low, 9).alias("recall_low"), F.round(high, 9).alias("recall_high"))
 
 
 MERGED = """
@@ -225,7 +225,7 @@ def _(t: Inputs):
 
 
 @query("A15_relevance", """
-    SELECT c.document_id, c.clause_type, c.seq AS pos, max(CASE WHEN least(c.seq * 25 + 60, g.e) > greatest(c.seq * 25, g.s) THEN 1 ELSE 0 END) AS rel
+    SELECT c.document_id, c.clause_type, c.seq AS pos, max(CASE WHEN g.s IS NOT NULL AND least(c.seq * 25 + 60, g.e) > greatest(c.seq * 25, g.s) THEN 1 ELSE 0 END) AS rel
     FROM {clauses} c LEFT JOIN (SELECT * FROM {spans} WHERE is_gold AND e > s) g ON g.document_id = c.document_id AND g.clause_type = 'parties' WHERE c.seq < 12 GROUP BY 1, 2, 3""")
 def _(t: Inputs):
     at = F.col("seq") * 25

@@ -179,10 +179,10 @@ def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def current(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """The version of a table that the folder's pointer names."""
-    fs, path = _fs(spark, f"{folder}/{name}/_current")
+    fs, path = _fs(spark, f"{folder}/{name}/CURRENT")
     if not fs.exists(path):
         return None
-    version = spark.read.text(f"{folder}/{name}/_current").first()[0]
+    version = spark.read.text(f"{folder}/{name}/CURRENT").first()[0]
     return spark.read.parquet(f"{folder}/{name}/{version}")
 
 
@@ -191,7 +191,7 @@ def publish(df: DataFrame, folder: str, name: str, partition_by: str | None = No
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(f"{folder}/{name}/{version}")
-    fs, path = _fs(spark, f"{folder}/{name}/_current")
+    fs, path = _fs(spark, f"{folder}/{name}/CURRENT")
     tmp = path.suffix(f".{version}")
     out = fs.create(tmp, True)
     out.write(bytearray(version.encode()))

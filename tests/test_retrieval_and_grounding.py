@@ -97,37 +97,37 @@ CONTRACT = "This CLAUSE is governed\nby the laws of Delaware. A CLAUSE may bind.
 FOOTER = "The fee is payable within\n12\nSource: ACME INC, 10-K, 3/15/2019\nthirty days of receipt."
 
 
-def check(spark, quote, start, end, text=CONTRACT):
-    ev = spark.createDataFrame([("d", "c", 0, 0, quote, start, end)], "document_id string, clause_type string, seq int, ev_ord int, quote string, char_start int, char_end int")
-    return gr.check_evidence(ev, spark.createDataFrame([("d", text)], "document_id string, text string")).first()
-
-
-@pytest.mark.parametrize(
-    ("quote", "start", "end", "status", "found"),
-    [
-        ("This CLAUSE", 0, 11, "exact", (0, 11)),
-        ("governed by the laws", 15, 35, "normalized", (15, 35)),
-        ("governed by the laws", 0, 0, "relocated", (15, 35)),
-        ("by the laws", 3, 14, "relocated", (24, 35)),
-        ("by the laws of Texas", 24, 44, "not_found", (None, None)),
-        ("invented", 0, 0, "not_found", (None, None)),
-        ("absent", 99_999, 100_005, "out_of_bounds", (None, None)),
-        (" \n ", 0, 3, "empty", (None, None)),
-    ],
-)
-def test_grounding_statuses(spark, quote, start, end, status, found):
-    r = check(spark, quote, start, end)
-    assert (r["status"], (r["found_start"], r["found_end"])) == (status, found)
-    if status == "relocated":
-        assert r["found_quote"] == CONTRACT[found[0] : found[1]]
+def check(spark, rows):
+    """Checks of [(quote, start, end, text)], in order."""
+    ev = [(str(i), "c", 0, 0, q, a, b) for i, (q, a, b, _) in enumerate(rows)]
+    kind = "document_id string, clause_type string, seq int, ev_ord int, quote string, char_start int, char_end int"
+    docs = spark.createDataFrame([(str(i), t) for i, (*_, t) in enumerate(rows)], "document_id string, text string")
+    return sorted(gr.check_evidence(spark.createDataFrame(ev, kind), docs).collect(), key=lambda r: int(r["document_id"]))
+
+
+CHECKS = [
+    ("This CLAUSE", 0, 11, "exact", (0, 11)),
+    ("governed by the laws", 15, 35, "normalized", (15, 35)),
+    ("governed by the laws", 0, 0, "relocated", (15, 35)),
+    ("by the laws", 3, 14, "relocated", (24, 35)),
+    ("by the laws of Texas", 24, 44, "not_found", (None, None)),
+    ("invented", 0, 0, "not_found", (None, None)),
+    ("absent", 99_999, 100_005, "out_of_bounds", (None, None)),
+    (" \n ", 0, 3, "empty", (None, None)),
+]
+
+
+def test_grounding_statuses(spark):
+    for r, (quote, _, _, status, found) in zip(check(spark, [(q, a, b, CONTRACT) for q, a, b, *_ in CHECKS]), CHECKS, strict=True):
+        assert (r["status"], (r["found_start"], r["found_end"])) == (status, found), quote
+        if status == "relocated":
+            assert r["found_quote"] == CONTRACT[found[0] : found[1]]
 
 
 def test_grounding_occurrences_and_footers(spark):
-    r = check(spark, "CLAUSE", 50, 56)
+    r, *rest = check(spark, [("CLAUSE", 50, 56, CONTRACT), ("payable within thirty days", 0, 0, FOOTER), ("payable within days", 0, 0, FOOTER), ("payable within sixty days", 0, 0, FOOTER)])
     assert (r["status"], r["found_start"], r["other_occurrences"]) == ("relocated", 5, 2)
-    assert check(spark, "payable within thirty days", 0, 0, FOOTER)["status"] == "artifact_elided"
-    assert check(spark, "payable within days", 0, 0, FOOTER)["status"] == "not_found"
-    assert check(spark, "payable within sixty days", 0, 0, FOOTER)["status"] == "not_found"
+    assert [x["status"] for x in rest] == ["artifact_elided", "not_found", "not_found"]
 
 
 def test_grounding_report_and_repair(spark):

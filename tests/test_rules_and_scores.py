@@ -22,13 +22,22 @@ EVIDENCE = "document_id string, clause_type string, seq int, ev_ord int, quote s
 TEXT = "This agreement is governed by the laws of Delaware and binds both parties."
 
 
-def violations(spark, clauses, evidence=(), text=TEXT):
-    """clauses: {type: (present, value, raw_text, confidence)} or a list of (type, ...)."""
-    items = list(clauses.items()) if isinstance(clauses, dict) else clauses
-    rows = [("d", i, c, *v) for i, (c, v) in enumerate(items)]
-    docs = spark.createDataFrame([("d", text)], "document_id string, text string")
-    found = ru.apply_rules(spark.createDataFrame(rows, CLAUSE), spark.createDataFrame([("d", *e) for e in evidence], EVIDENCE), docs, dims.clause_types(spark))
-    return [(r["rule_id"], r["severity"], r["clause_types"]) for r in ru.in_order(found).collect()]
+def violations_of(spark, cases):
+    """{name: [(rule, severity, types)]} of {name: (clauses, evidence)}, all in one run.
+
+    clauses: {type: (present, value, raw_text, confidence)} or a list of (type, ...).
+    """
+    rows, cited = [], []
+    for name, (clauses, evidence) in cases.items():
+        items = list(clauses.items()) if isinstance(clauses, dict) else clauses
+        rows += [(name, i, c, *v) for i, (c, v) in enumerate(items)]
+        cited += [(name, *e) for e in evidence]
+    docs = spark.createDataFrame([(name, TEXT) for name in cases], "document_id string, text string")
+    found = ru.apply_rules(spark.createDataFrame(rows, CLAUSE), spark.createDataFrame(cited, EVIDENCE), docs, dims.clause_types(spark))
+    out = {name: [] for name in cases}
+    for r in ru.in_order(found).collect():
+        out[r["document_id"]].append((r["rule_id"], r["severity"], r["clause_types"]))
+    return out
 
 
 def ids(found):
@@ -44,66 +53,56 @@ def full(**changed):
 CITED = [("parties", 1, 0, "binds both parties", 55, 73)]
 
 
-def test_clean_result(spark):
-    assert violations(spark, full(), CITED) == []
-
-
-@pytest.mark.parametrize(
-    ("change", "rule"),
-    [
-        ({"governing_law": (True, "Atlantis", None, 0.9)}, "governing_law_unknown_jurisdiction"),
-        ({"governing_law": (True, "us-de", None, 0.9)}, "governing_law_unknown_jurisdiction"),
-        ({"effective_date": (True, "3/15/19", None, 0.9)}, "date_unparseable"),
-        ({"effective_date": (True, "1850", None, 0.9)}, "date_implausible_year"),
-        ({"effective_date": (False, "PERPETUAL", None, 0.9)}, "perpetual_effective_date"),
-        ({"notice_period_to_terminate_renewal": (True, "abc", None, 0.9)}, "notice_period_not_integer"),
-        ({"notice_period_to_terminate_renewal": (True, "0", None, 0.9)}, "notice_period_non_positive"),
-        ({"notice_period_to_terminate_renewal": (True, "9999", None, 0.9)}, "notice_period_implausible"),
-        ({"uncapped_liability": (True, None, None, 0.9)}, "uncapped_without_cap"),
-        ({"renewal_term": (True, "365", None, 0.9)}, "renewal_term_without_notice_period"),
-        ({"expiration_date": (True, "2020", None, 0.9)}, "expiration_without_effective"),
-        ({"non_compete": (True, None, None, 0.9)}, "non_compete_without_exclusivity"),
-        ({"non_compete": (True, None, None, 0.69)}, "tier3_low_confidence"),
-        ({"renewal_term": (True, "365", None, 0.39)}, "very_low_confidence"),
-        ({"exclusivity": (False, "x", None, 0.9)}, "boolean_clause_carries_no_value"),
-        ({"renewal_term": (True, None, None, 0.9)}, "valued_clause_missing_value"),
-        ({"renewal_term": (False, None, "text", 0.9)}, "absence_forbids_raw_text"),
-        ({"parties": (True, "x", "governed by the law of Texas", 0.9)}, "raw_text_not_verbatim"),
-        ({"parties": (False, None, None, 0.9)}, "parties_absent"),
-    ],
-)
-def test_each_rule_fires(spark, change, rule):
-    assert rule in ids(violations(spark, full(**change), CITED))
-
-
-@pytest.mark.parametrize("value", ["US-DE", "US-NY; GB-EAW", "UNSPECIFIED"])
-def test_known_jurisdictions(spark, value):
-    assert "governing_law_unknown_jurisdiction" not in ids(violations(spark, full(governing_law=(True, value, None, 0.9)), CITED))
-
-
-@pytest.mark.parametrize(("start", "end", "fires"), [("2020", "2019", True), ("2019", "2019", False), ("2019-03-15", "2019", False), ("2019-03-15", "2019-03", True),
-                                                     ("2019-03", "2019-03-15", False), ("2019-13", "2019-01", False), ("2020", "PERPETUAL", False), ("2021", "UNSPECIFIED", False)])
-def test_date_order(spark, start, end, fires):
-    got = ids(violations(spark, full(effective_date=(True, start, None, 0.9), expiration_date=(True, end, None, 0.9)), CITED))
-    assert ("effective_after_expiration" in got) == fires
-
-
-def test_whole_result_rules(spark):
-    absent = {c: (False, None, None, 0.8) for c in TYPES}
-    got = violations(spark, absent)
-    assert {"nothing_extracted", "confidence_is_constant"} <= ids(got) and got[0][1] == "error"
-    assert "everything_present" in ids(violations(spark, {c: (True, None, None, i / 20) for i, c in enumerate(TYPES)}))
-    twice = violations(spark, [("parties", (True, "x", None, 0.9)), ("parties", (False, None, None, 0.8))])
-    assert ("duplicate_clause_types", "error", "parties") in twice and "parties_absent" in ids(twice)
-    missing = next(v for v in twice if v[0] == "incomplete_clause_coverage")
+FIRING = [
+    ({"governing_law": (True, "Atlantis", None, 0.9)}, "governing_law_unknown_jurisdiction"),
+    ({"governing_law": (True, "us-de", None, 0.9)}, "governing_law_unknown_jurisdiction"),
+    ({"effective_date": (True, "3/15/19", None, 0.9)}, "date_unparseable"),
+    ({"effective_date": (True, "1850", None, 0.9)}, "date_implausible_year"),
+    ({"effective_date": (False, "PERPETUAL", None, 0.9)}, "perpetual_effective_date"),
+    ({"notice_period_to_terminate_renewal": (True, "abc", None, 0.9)}, "notice_period_not_integer"),
+    ({"notice_period_to_terminate_renewal": (True, "0", None, 0.9)}, "notice_period_non_positive"),
+    ({"notice_period_to_terminate_renewal": (True, "9999", None, 0.9)}, "notice_period_implausible"),
+    ({"uncapped_liability": (True, None, None, 0.9)}, "uncapped_without_cap"),
+    ({"renewal_term": (True, "365", None, 0.9)}, "renewal_term_without_notice_period"),
+    ({"expiration_date": (True, "2020", None, 0.9)}, "expiration_without_effective"),
+    ({"non_compete": (True, None, None, 0.9)}, "non_compete_without_exclusivity"),
+    ({"non_compete": (True, None, None, 0.69)}, "tier3_low_confidence"),
+    ({"renewal_term": (True, "365", None, 0.39)}, "very_low_confidence"),
+    ({"exclusivity": (False, "x", None, 0.9)}, "boolean_clause_carries_no_value"),
+    ({"renewal_term": (True, None, None, 0.9)}, "valued_clause_missing_value"),
+    ({"renewal_term": (False, None, "text", 0.9)}, "absence_forbids_raw_text"),
+    ({"parties": (True, "x", "governed by the law of Texas", 0.9)}, "raw_text_not_verbatim"),
+    ({"parties": (False, None, None, 0.9)}, "parties_absent"),
+]
+ORDERS = [("2020", "2019", True), ("2019", "2019", False), ("2019-03-15", "2019", False), ("2019-03-15", "2019-03", True), ("2019-03", "2019-03-15", False),
+          ("2019-13", "2019-01", False), ("2020", "PERPETUAL", False), ("2021", "UNSPECIFIED", False)]
+BAD_EVIDENCE = [("parties", 1, 0, "too short", 9, 9), ("parties", 1, 1, "long enough quote here", 5, 900), ("parties", 1, 2, "long enough quote here", 5, 900)]
+
+
+def test_rules(spark):
+    cases = {"clean": (full(), CITED), "evidence": (full(), BAD_EVIDENCE), "none": ([], [])}
+    cases |= {f"fires {i}": (full(**change), CITED) for i, (change, _) in enumerate(FIRING)}
+    cases |= {f"known {v}": (full(governing_law=(True, v, None, 0.9)), CITED) for v in ("US-DE", "US-NY; GB-EAW", "UNSPECIFIED")}
+    cases |= {f"order {a} {b}": (full(effective_date=(True, a, None, 0.9), expiration_date=(True, b, None, 0.9)), CITED) for a, b, _ in ORDERS}
+    cases["absent"] = ({c: (False, None, None, 0.8) for c in TYPES}, [])
+    cases["all"] = ({c: (True, None, None, i / 20) for i, c in enumerate(TYPES)}, [])
+    cases["twice"] = ([("parties", (True, "x", None, 0.9)), ("parties", (False, None, None, 0.8))], [])
+    got = violations_of(spark, cases)
+    assert got["clean"] == []
+    for i, (_, rule) in enumerate(FIRING):
+        assert rule in ids(got[f"fires {i}"]), rule
+    for name, found in got.items():
+        if name.startswith("known"):
+            assert "governing_law_unknown_jurisdiction" not in ids(found)
+    for a, b, fires in ORDERS:
+        assert ("effective_after_expiration" in ids(got[f"order {a} {b}"])) == fires, (a, b)
+    assert {"nothing_extracted", "confidence_is_constant"} <= ids(got["absent"]) and got["absent"][0][1] == "error"
+    assert "everything_present" in ids(got["all"])
+    assert ("duplicate_clause_types", "error", "parties") in got["twice"] and "parties_absent" in ids(got["twice"])
+    missing = next(v for v in got["twice"] if v[0] == "incomplete_clause_coverage")
     assert missing[2] == ",".join(sorted(set(TYPES) - {"parties"}))
-    none = violations(spark, [])
-    assert ids(none) == {"incomplete_clause_coverage"} and len(none[0][2].split(",")) == 12
-
-
-def test_evidence_rules(spark):
-    bad = [("parties", 1, 0, "too short", 9, 9), ("parties", 1, 1, "long enough quote here", 5, 900), ("parties", 1, 2, "long enough quote here", 5, 900)]
-    assert {"evidence_too_short", "evidence_offsets_inverted", "evidence_outside_document", "evidence_duplicated"} <= ids(violations(spark, full(), bad))
+    assert ids(got["none"]) == {"incomplete_clause_coverage"} and len(got["none"][0][2].split(",")) == 12
+    assert {"evidence_too_short", "evidence_offsets_inverted", "evidence_outside_document", "evidence_duplicated"} <= ids(got["evidence"])
 
 
 def test_registry_has_thirty_checks():
