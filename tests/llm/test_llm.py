@@ -237,8 +237,6 @@ def test_repeated_passages(spark):
     later = {d for ds in holds.values() for d in ds if d != min(ds)}
     clean = set(range(60)) - {d for ds in holds.values() for d in ds}
     assert cut <= later and not cut & clean and len(cut) >= 0.9 * len(later)
-    for p, ds in holds.items():
-        assert passages[p] in got[min(ds)]["kept_text"] or min(ds) in cut
     for i, r in got.items():
         keep, at = [], 0
         for s in r["spans"]:
