@@ -52,6 +52,10 @@ CONTENT_NAMES = re.compile(
     r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text|article-?body|post-?body|entry-content|post-content|main-content)(?:[^a-z]|$)"
 )
 
+# names that tell of a layout ("has-sidebar"), and of heads, which belong to the article when they stand in it
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|is|without|not)-\S+")
+_HEADS = re.compile(r"\b(?:header|masthead|head)\b")
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -71,7 +75,10 @@ class Node:
         if attrs and "=" in attrs:
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower()
             if names and tag not in ("html", "body"):
-                boiler = max(boiler, float(bool(BOILER_NAMES.search(names))))
+                names = _LAYOUT.sub(" ", names)
+                if up and up.content:
+                    names = _HEADS.sub(" ", names)
+                boiler = max(boiler, float(bool(BOILER_NAMES.search(names)) and tag not in CONTENT_TAGS))
                 content = max(content, 0.5 * bool(CONTENT_NAMES.search(names)))
             low = attrs.lower()
             if re.search(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", low):

@@ -413,6 +413,13 @@ def test_html_main_text():
     assert html.extract("<article><p>a < b and 1<2 hold <!-- no --> here</p></article>") == "a < b and 1<2 hold here"
 
 
+def test_html_layout_names_and_heads():
+    page = """<body class="with-sidebar"><div class="wrap has-sidebar no-comments"><div class="site-header">Site of ours</div><article class="post">
+    <header class="entry-header"><h1>Kept title</h1></header><p>A paragraph that is long enough to be kept as content of the page.</p></article>
+    <div id="sidebar"><p>Other stories that are as long as a paragraph of the article but are not in it.</p></div></div></body>"""
+    assert html.extract(page) == "Kept title\nA paragraph that is long enough to be kept as content of the page."
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(30):
