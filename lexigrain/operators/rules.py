@@ -149,7 +149,7 @@ def apply_rules(clauses: DataFrame, evidence: DataFrame, docs: DataFrame, types:
         "clause": lambda: rows,
         "evidence": lambda: evidence.join(last, ["document_id", "clause_type", "seq"]).join(
             docs.select("document_id", F.length("text").alias("size")), "document_id", "left"),
-        "document": lambda: per_document(rows, docs),
+        "document": lambda: per_document(last_clauses(clauses), docs),
         "missing": lambda: missing.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("clause_type")), ",").alias("clause_type")),
         "repeat": lambda: clauses.groupBy("document_id", "clause_type").agg(F.count("*").alias("n")).where("n > 1"),
     }

@@ -31,6 +31,10 @@ def _post(t: Inputs):
     return rt.postings(t.docs, "document_id")
 
 
+def _chunks(t: Inputs):
+    return t.docs.select(F.col("document_id").alias("chunk_id"), "text")
+
+
 def _flat(fused):
     ranks = [F.try_element_at("ranks", F.lit(a)).cast("long").alias(f"{a}_rank") for a in ("dense", "lexical")]
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), *ranks, F.col("fused_rank").cast("long").alias("fused_rank"))
@@ -73,7 +77,7 @@ def _(t: Inputs):
     SELECT query_id, chunk_id, round(score, 9) AS score, pos FROM lexr WHERE pos <= 50""")
 def _(t: Inputs):
     kept = rt.restrict(t.docs, t.docs.where("doc_id % 5 = 0"))
-    r = rt.lexical_search(rt.postings(kept, "document_id"), t.queries)
+    r = rt.lexical_scan(kept, t.queries, id_col="document_id")
     return r.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -95,21 +99,21 @@ def _(t: Inputs):
 
 @query("R7_hybrid_rrf_topk", f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 9) AS score, dense_rank, lexical_rank, fused_rank FROM fused WHERE fused_rank <= 10")
 def _(t: Inputs):
-    return _flat(rt.hybrid_search(_post(t), t.vectors, t.queries))
+    return _flat(rt.hybrid_search(None, t.vectors, t.queries, chunks=_chunks(t)))
 
 
 @query("R8_rerank", f"""
     WITH {FUSED}, r AS (SELECT *, cast(length(chunk_id) * 7 + cast(chunk_id AS bigint) % 5 AS double) AS rerank_score FROM fused WHERE fused_rank <= 10)
     SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS rerank_rank FROM r""")
 def _(t: Inputs):
-    fused = rt.hybrid_search(_post(t), t.vectors, t.queries)
+    fused = rt.hybrid_search(None, t.vectors, t.queries, chunks=_chunks(t))
     scored = fused.withColumn("rerank_score", (F.length("chunk_id") * 7 + F.col("chunk_id").cast("long") % 5).cast("double"))
     return rt.rerank(scored).select("query_id", "chunk_id", "rerank_score", F.col("rerank_rank").cast("long").alias("rerank_rank"))
 
 
 @query("R9_identity_reranker", f"WITH {FUSED} SELECT query_id, chunk_id, (1 - fused_rank)::double AS rerank_score, fused_rank AS rerank_rank FROM fused WHERE fused_rank <= 10")
 def _(t: Inputs):
-    fused = rt.identity_scores(rt.hybrid_search(_post(t), t.vectors, t.queries))
+    fused = rt.identity_scores(rt.hybrid_search(None, t.vectors, t.queries, chunks=_chunks(t)))
     return rt.rerank(fused).select("query_id", "chunk_id", "rerank_score", F.col("rerank_rank").cast("long").alias("rerank_rank"))
 
 

@@ -203,8 +203,7 @@ RANKED = f"""{LEXICAL}, {DENSE},
 
 
 def _query_scores(t: Inputs):
-    post = rt.postings(t.docs, "document_id")
-    both = rt.lexical_search(post, t.queries).select(F.lit("lexical").alias("arm"), "query_id", "chunk_id", "pos").unionByName(
+    both = rt.lexical_scan(t.docs, t.queries, id_col="document_id").select(F.lit("lexical").alias("arm"), "query_id", "chunk_id", "pos").unionByName(
         rt.dense_search(t.vectors, t.queries).select(F.lit("dense").alias("arm"), "query_id", "chunk_id", "pos"))
     ranked = both.withColumn("rel", (F.col("chunk_id").cast("long") % 7 == F.col("query_id") % 7).cast("int"))
     arms = t.spark.createDataFrame([("lexical",), ("dense",)], "arm string")
