@@ -73,6 +73,11 @@ def _(t: Inputs):
     return src.master_answers(wide, "document_id", "doc_id")
 
 
+@query("S9_jurisdictions", "SELECT 'jurisdiction' AS kind, 93::bigint AS n UNION ALL SELECT 'sentinel', 3::bigint")
+def _(t: Inputs):
+    return src.load_jurisdictions(t.spark)[0].groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("S12_ledger", "SELECT event_id, cost_usd FROM {turns} WHERE cost_usd > 0")
 def _(t: Inputs):
     from lexigrain.operators import operations as op
