@@ -114,8 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-# DuckDB has neither XXH64 with a seed, nor the tokenizers, models, HTML parsing or
-# SHA-1; these operators are tested against brute force, round trips and held-out labels.
+# DuckDB has neither XXH64 with a seed, nor the tokenizers, models or HTML parsing;
+# those operators are tested against brute force, round trips and held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": """
         WITH notice(sentence, sid, name) AS (VALUES
@@ -137,4 +137,12 @@ ORACLE_SQL: dict[str, str] = {
         ) USING (doc_id)
         GROUP BY d.doc_id
     """,
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + cast(('0x' || substring(hex, 1 + 5 * (i // 4), 5))::BIGINT // [32768, 1024, 32, 1][1 + i % 4] % 32 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
 }
