@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexigrain.functions import normalize as nz
 from lexigrain.functions import text as tx
 from lexigrain.operators import baseline as bl
 from lexigrain.operators import chunking as ck
@@ -305,6 +306,38 @@ def _(t: Inputs):
     return bl.run_baseline(_planted(t), t.types).select("document_id", "clause_type", "present", "confidence")
 
 
+_DATES = {"March 15, 2019": "2019-03-15", "15th day of March, 2019": "2019-03-15", "3/15/19": "2019-03-15", "March 2019": "2019-03", "[]/[]/2020": "2020", "5/8/97": "1997-05-08",
+          "Perpetual": "PERPETUAL", "[* * *]": "UNSPECIFIED", "2019-03": "2019-03", "soon": None}
+_DAYS = {"30 days": 30, "thirty (30) days": 30, "ninety (90) days\u2019": 90, "one month": 30, "3 months": 90, "one year": 365, "6 weeks": 42, "30": 30, "soon": None}
+
+
+def _cases(t: Inputs, values: dict):
+    n = F.lit(len(values))
+    return t.docs.select("document_id", F.get(F.array(*[F.lit(v) for v in values]), F.pmod("doc_id", n).cast("int")).alias("value"))
+
+
+def _expected(values: dict, name: str, kind: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values.values()))
+    return f"SELECT document_id, cast(CASE doc_id % {len(values)} {whens} END AS {kind}) AS {name} FROM {{docs}}"
+
+
+@query("N1_normalize_date", _expected(_DATES, "iso", "varchar"))
+def _(t: Inputs):
+    return _cases(t, _DATES).select("document_id", nz.normalize_date(F.col("value")).alias("iso"))
+
+
+@query("N2_normalize_days", _expected(_DAYS, "days", "int"))
+def _(t: Inputs):
+    return _cases(t, _DAYS).select("document_id", nz.normalize_days(F.col("value")).alias("days"))
+
+
+@query("N4_normalize_parties", """
+    SELECT document_id, unnest(['Acme ' || lang || ' Inc.', 'Beta LLC']) AS name, unnest(['Company', NULL]) AS role FROM {docs}""")
+def _(t: Inputs):
+    named = t.docs.select("document_id", F.format_string('Acme %s Inc. ("Company"); Beta LLC', "lang").alias("value"))
+    return named.select("document_id", F.explode(nz.normalize_parties(F.col("value"))).alias("p")).select("document_id", "p.name", "p.role")
+
+
 @query("N5_resolve_aliases", """
     SELECT document_id, CASE doc_id % 4 WHEN 0 THEN 'US-DE' WHEN 1 THEN 'GB-EAW' WHEN 2 THEN 'CN' END AS jurisdiction_id FROM {docs}""")
 def _(t: Inputs):
