@@ -270,7 +270,7 @@ def _(t: Inputs):
 
 # patterns without a model, on texts with planted clauses
 
-_PLANTED = """concat('THIS AGREEMENT is made as of the 7th day of September, 1999 by and between Acme Corporation and Beta Limited. ', substring(text, 1, 300),
+_PLANTED = """concat('THIS AGREEMENT is made as of the 7th day of September, 1999 by and between Acme Corporation and Beta Limited. ', text,
  ' This Agreement shall be governed by the laws of the State of Delaware, without regard to conflicts. March 3, 2001. It shall remain in force and effect until terminated.')"""
 
 
