@@ -102,6 +102,7 @@ class Scanner:
 
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES):
         self.known = {normalise(s): k for k, forms in sentences.items() for s in forms}
+        self.heads = {" ".join(w[:i]) for w in map(str.split, self.known) for i in range(1, len(w) + 1)}
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
         # lower-cased texts are cut at sentence ends and before the first three words of known sentences
         begins = sorted({" ".join(s.split()[:3]) for s in self.known}, key=lambda b: (-len(b), b))
@@ -117,15 +118,19 @@ class Scanner:
         for at in starts:
             if at < done:
                 continue
-            longest = None
+            longest, words, tried = None, [], at
             stops = self.end.finditer(low, at)
             # a sentence may run over line ends and stops of its own ("v. 2.0"), so growing candidates are tried
-            for _ in range(6):
+            # for as long as a known sentence begins like them; stops stand between words
+            while True:
                 m = next(stops, None)
                 stop = m.start() if m else len(low)
-                if (k := self.known.get(_PARTS.sub(" ", low[at:stop]).strip())) is not None:
+                words += _PARTS.sub(" ", low[tried:stop]).split()
+                tried = stop
+                candidate = " ".join(words)
+                if (k := self.known.get(candidate)) is not None:
                     longest = (k, stop)
-                if m is None or stop - at > 1200:
+                if m is None or candidate not in self.heads:
                     break
             if longest:
                 out.append(longest[0])
