@@ -93,7 +93,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     rows = warc.parse_records(warc.read_archive(spark, path))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.checked(rows).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

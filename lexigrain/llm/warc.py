@@ -123,3 +123,17 @@ def parse_records(archive: DataFrame) -> DataFrame:
         field("WARC-Refers-To", "<urn:x-page:(-?\\d+)>").cast("long").alias("refers_to"),
         "payload",
     )
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """Parsed ``records`` with length and digest counted again from the payload.
+
+    Fails where a header names others, so a lazy result reads every payload.
+    """
+    size, digest = F.octet_length("payload").cast("long"), base32_sha1(F.col("payload"))
+    same = lambda found, told, what: F.when(found.eqNullSafe(F.col(told)), found).otherwise(
+        F.raise_error(F.lit(f"a payload does not have the {what} of its header")))
+    return records.withColumns({
+        "payload_bytes": same(size, "payload_bytes", "length").cast("long"),
+        "payload_digest": same(digest, "payload_digest", "digest").cast("string"),
+    })
