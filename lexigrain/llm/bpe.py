@@ -2,15 +2,21 @@
 
 Texts are cut where a gear rolling hash of the last 16 bytes says so, which
 gives the same chunks wherever the same passage stands.  A chunk is encoded
-once per executor process; later documents with that chunk take its ids from
-a store keyed by 128-bit digest.  The ids next to a cut are not final, since a
-word may straddle it: the text around each join is encoded again, from the
-last point before the cut to the first point behind it where both encodings
-are bound to agree, and only these ids replace those of the two chunks.
-
-Such a point is a space between two characters that are not white space: no
-pre-token of the byte-level tokenizer crosses it, whatever stands around it.
-A chunk without such a point joins its neighbours and is encoded with them.
+whole, as if it were a text, once per executor process; later documents with
+that chunk take its pieces and ids from a store keyed by 128-bit digest.  What
+stands next to a cut may be wrong, since a word, a run of white space or an
+added token may straddle it.  So every join is repaired: the last pieces of the
+chunk before it and the first of the chunk behind it are encoded again as one
+text, and the outermost of these pieces must come out as they were in their
+chunks, and so with the same ids.  Where they do not, more pieces are taken in on that
+side, twice as many each time, until both sides agree or the text ends; a chunk
+that is used up by this joins the next one.  The ids between the agreed pieces
+are then replaced.
+
+A window starts with four pieces a side, and two of each side must agree.  Where
+a piece ends is decided by what precedes it, at most two characters behind it,
+and added tokens; so two unchanged pieces show that nothing before or behind
+them looks across the join.
 
 Both stores are bounded, so memory does not follow the corpus: the older half
 goes when a store is full, and a chunk met again is encoded again, with the
@@ -37,8 +43,6 @@ from pyspark.sql import functions as F
 from lexigrain.llm.common import gear_hashes, id_text, trimmed
 
 _JOIN = re.compile(r"(?<=\S)(?= \S)")  # the safe points
-_FIRST = re.compile(r"\S(?= \S)")
-_LAST = re.compile(r".*\S(?= \S)", re.S)
 # In texts of these characters without double white space the pre-tokens are known; all others are cut at safe points only.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIGN = r"!-&(-/:-@\[-`{-~"
@@ -116,25 +120,73 @@ class PieceEncoder:
         return b"".join(map(self.store.__getitem__, pieces))
 
     def split(self, text: str) -> list[str]:
-        """Pieces of a text that starts and ends at a safe point or an end of the document."""
+        """The pieces of a text that is encoded on its own."""
         if _SIMPLE.fullmatch(text) and not _DOUBLE.search(text) and not any(t in text for t in self.added):
             return _PIECES.findall(text)
         return _JOIN.split(text)
 
 
 class Chunk:
-    """Text before the first safe point, pieces and then ids up to the last one, text from there on."""
+    """A chunk encoded as a text of its own: where its pieces and their ids begin."""
+
+    __slots__ = ("text", "pieces", "starts", "ids", "at")
+
+    def __init__(self, text: str, pieces: list[str]):
+        self.text, self.pieces, self.starts, self.ids, self.at = text, pieces, None, b"", None
+
+    def encoded(self, ids: list[bytes]) -> None:
+        """Takes the ids; pieces are kept as places in the text only."""
+        self.starts = np.cumsum([0, *map(len, self.pieces)], dtype=np.int32)
+        self.ids, self.at = b"".join(ids), np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        self.pieces = None
+
+    def __len__(self) -> int:
+        return len(self.pieces if self.starts is None else self.starts) - (self.starts is not None)
+
+    def span(self, lo: int, hi: int) -> list[str]:
+        if self.starts is None:
+            return self.pieces[lo:hi]
+        at = self.starts[lo : hi + 1].tolist()
+        return [self.text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
 
-    __slots__ = ("head", "pieces", "ids", "tail")
+class Part:
+    """A chunk's place in a text: those of its pieces that no join has replaced."""
 
-    def __init__(self, head: str, pieces: list[str] | None, tail: str):
-        self.head, self.pieces, self.ids, self.tail = head, pieces, None, tail
+    __slots__ = ("chunk", "lo", "hi")
+
+    def __init__(self, chunk: Chunk, lo: int, hi: int):
+        self.chunk, self.lo, self.hi = chunk, lo, hi
+
+
+def last_pieces(parts: list[Part | list[str]], n: int) -> list[str]:
+    """The last n pieces of a text so far, or all."""
+    found: list[str] = []
+    for p in reversed(parts):
+        need = n - len(found)
+        if need <= 0:
+            break
+        found = (p[-need:] if isinstance(p, list) else p.chunk.span(max(p.lo, p.hi - need), p.hi)) + found
+    return found
+
+
+def drop_last(parts: list[Part | list[str]], n: int) -> None:
+    while n:
+        p = parts[-1]
+        size = len(p) if isinstance(p, list) else p.hi - p.lo
+        if size <= n:
+            parts.pop()
+        elif isinstance(p, list):
+            del p[-n:]
+        else:
+            p.hi -= n
+        n -= min(n, size)
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, mean_bytes: int, max_pieces: int, max_chunks: int):
+    def __init__(self, path: str, mean_bytes: int, max_pieces: int, max_chunks: int, first: int = 4):
         self.pieces, self.chunks, self.max_chunks = PieceEncoder(path, max_pieces), {}, max_chunks
-        self.limit = np.uint32((1 << 32) // mean_bytes)
+        self.limit, self.first = np.uint32((1 << 32) // mean_bytes), first
 
     def cuts(self, data: np.ndarray) -> list[int]:
         """Ends of chunks: after hits of the rolling hash, at whole code points."""
@@ -146,35 +198,54 @@ class ChunkEncoder:
         key = xxhash.xxh3_128_digest(raw)
         if (known := self.chunks.get(key)) is None:
             text = raw.decode("utf-8")
-            if m := _FIRST.search(text):
-                last = _LAST.match(text).end()
-                known = Chunk(text[: m.end()], self.pieces.split(text[m.end() : last]), text[last:])
-            else:
-                known = Chunk(text, None, "")
-            self.chunks[key] = known
+            known = self.chunks[key] = Chunk(text, self.pieces.split(text))
         return known
 
-    def parts(self, text: str) -> list[Chunk | list[str]]:
-        """A text as chunks and, between them, the pieces of the repaired joins."""
+    def join(self, parts: list[Part | list[str]], chunk: Chunk) -> None:
+        """Adds ``chunk`` to a text, its join with what is there repaired."""
+        i = j = self.first
+        while True:
+            left, right = last_pieces(parts, i), chunk.span(0, min(j, len(chunk)))
+            window = self.pieces.split("".join(left + right))
+            # equal pieces have equal ids; where a side is used up there is nothing to agree with
+            left_agrees = len(left) < i or window[:2] == left[:2]
+            right_agrees = j >= len(chunk) or window[-2:] == right[-2:]
+            if left_agrees and right_agrees:
+                break
+            i, j = (i if left_agrees else 2 * i), (j if right_agrees else 2 * j)
+        drop_last(parts, len(left))
+        if parts and isinstance(parts[-1], list):
+            parts[-1] += window
+        else:
+            parts.append(window)
+        if j < len(chunk):
+            parts.append(Part(chunk, j, len(chunk)))
+
+    def parts(self, text: str) -> list[Part | list[str]]:
+        """A text as parts of chunks and, between them, the pieces of the repaired joins."""
         raw = text.encode("utf-8")
-        out, start, window = [], 0, ""
+        out: list[Part | list[str]] = []
+        start = 0
         for end in self.cuts(np.frombuffer(raw, np.uint8)) if raw else ():
-            part = self.chunk(raw[start:end])
-            window += part.head
-            if part.pieces is not None or part.ids is not None:
-                out += [self.pieces.split(window), part]
-                window = part.tail
+            chunk = self.chunk(raw[start:end])
+            if start:
+                self.join(out, chunk)
+            else:
+                out.append(Part(chunk, 0, len(chunk)))
             start = end
-        return [*out, self.pieces.split(window)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.chunks = trimmed(self.chunks, self.max_chunks)
-        texts = [self.parts(t) for t in texts]
-        new = {id(p): p for parts in texts for p in parts if isinstance(p, Chunk) and p.ids is None}.values()
-        self.pieces.learn([*(p.pieces for p in new), *(p for parts in texts for p in parts if isinstance(p, list))])
-        for p in new:
-            p.ids, p.pieces = self.pieces.ids(p.pieces), None
-        return [b"".join([p.ids if isinstance(p, Chunk) else self.pieces.ids(p) for p in parts]) for parts in texts]
+        whole = [self.parts(t) for t in texts]
+        new = [c for c in self.chunks.values() if c.at is None]
+        self.pieces.learn([*(c.pieces for c in new), *(p for parts in whole for p in parts if isinstance(p, list))])
+        for c in new:
+            c.encoded(list(map(self.pieces.store.__getitem__, c.pieces)))
+        return [
+            b"".join([self.pieces.ids(p) if isinstance(p, list) else p.chunk.ids[p.chunk.at[p.lo] : p.chunk.at[p.hi]] for p in parts])
+            for parts in whole
+        ]
 
 
 def token_bytes(path: str) -> list[bytes]:
