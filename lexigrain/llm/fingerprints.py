@@ -1,20 +1,31 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text is a sequence of words (runs without ASCII white space).  Every run of
-``k`` words is hashed together with its occurrence number, so that repeats
-count.  The sorted hashes form a circle on which ``m`` evenly spaced points
-stand for ``m`` orders of the k-mers, each starting at its point; the ``l``
-smallest k-mers of an order are the ``l`` next on the circle.  They are put
-back into text order and hashed as a tuple: one value of the signature.  The
-share of equal values estimates how likely the same k-mers are chosen in the
-same order, which falls with the edit distance of the texts.
-
-Everything is per row on arrays, so nothing is shuffled, sorted across rows or
-spilled; memory is in proportion to one document.
+``k`` words is a k-mer, hashed together with its occurrence number, so that
+repeats count.  In each of ``m`` orders the ``l`` minimal k-mers are selected,
+put back into text order and hashed as a tuple: one value of the signature.
+The share of equal values estimates how likely the same k-mers are chosen in
+the same order, which falls with the edit distance of the texts.
+
+The orders are those of fast similarity sketching.  In round r a k-mer's hash
+of (k-mer, r) deals it to one of the m orders with a priority, and rounds come
+one after the other, so an order ranks k-mers by (round, priority).  Rounds go
+on until an order has ``points`` k-mers on average: a long text needs only a
+part of its first round, by priority, a text of one k-mer many rounds.  What
+an order holds beyond its l first plays no part, so texts of different length
+are compared alike.  An order that got no k-mer at all (a chance of e**-points)
+takes the tuple of the next one.
+
+Everything is per row on arrays, so nothing is sorted across rows or spilled;
+memory is in proportion to one document.
 
 Defined results: null text counts as empty; a text of fewer than k words
-(an empty one as well) has its whole word sequence as its only k-mer; equal
-texts have equal fingerprints.
+(an empty one as well) has its whole word sequence as its only k-mer; a tuple
+of a text with fewer than l k-mers holds those there are; equal texts have
+equal fingerprints.  In ``fingerprint_edits`` rows are kept one for one, null
+ids come first, rows that share an id are ordered by their texts, a table of
+one row is its own next document, an empty table gives an empty one, and other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,82 +34,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SPACE = " \t\n\x0b\x0c\r"
-_POS_BITS = 24  # positions beyond 2**24 words wrap, the same way in every text
-_POS = (1 << _POS_BITS) - 1
+# a key is, from the highest bit: order (m_bits), whether the round is not the first, priority, position (31 bits, more than any text has words)
+_POS = (1 << 31) - 1
+_ROUND_BITS = 10
 
 
-def _bin(x: Column, bits: int) -> Column:
-    """The bin of a hash, rising with its signed order."""
-    return (F.shiftright(x, 64 - bits) + (1 << (bits - 1))).cast("int")
+def _pos(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_POS))
 
 
-def _kmer(x: Column) -> Column:
-    return F.shiftright(x, _POS_BITS)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _with_position(h: Column, pos: Column) -> Column:
-    return h.bitwiseAND(F.lit(~_POS)).bitwiseOR(pos.bitwiseAND(F.lit(_POS)))
+def _shift(x: Column, n: int) -> Column:
+    return F.shiftrightunsigned(x, n) if n else x
 
 
-def signature(df: DataFrame, text_col: str, out_col: str, k: int = 2, l: int = 2, m_bits: int = 6) -> DataFrame:  # noqa: E741
+def signature(df: DataFrame, text_col: str, out_col: str, k: int = 2, l: int = 2, m_bits: int = 6, points: int = 8) -> DataFrame:  # noqa: E741
     """Adds ``out_col``: array of 2**m_bits 32-bit values for ``text_col``.
 
     Each step is its own column that later steps read more than once, so the
     optimizer keeps the steps apart and no step runs again for each element.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    names = {n: f"__omh_{out_col}_{n}" for n in ("words", "hashes", "runs", "circle", "low", "first")}
-    c = {n: F.col(v) for n, v in names.items()}
-    m = 1 << m_bits
-
-    def step(frame: DataFrame, name: str, value: Column) -> DataFrame:
-        return frame.withColumn(names[name], value)
-
-    text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_SPACE))
-    df = step(df, "words", F.split(text, "[\\x20\\x09-\\x0D]+"))
-    w, n = c["words"], F.size(c["words"])
-    at = lambda i, j: F.get(w, i + j)
+    m, keep = 1 << m_bits, [F.col(f"`{c}`") for c in df.columns]
+    rank_bits = 32 - m_bits  # of the first round; later ones have _ROUND_BITS for the round
+    late_bits = rank_bits - _ROUND_BITS
+    order_mask, rank_mask, late_mask = _signed(((m - 1) << (64 - m_bits))), ((1 << rank_bits) - 1) << 31, ((1 << late_bits) - 1) << 31
+    late_mark, absent = 1 << (31 + rank_bits), -1
+    frame = df
+
+    def step(name: str, value: Column) -> Column:
+        nonlocal frame
+        frame = frame.withColumn(f"__omh_{out_col}_{name}", value)
+        return F.col(f"__omh_{out_col}_{name}")
+
+    def key(h: Column, pos: Column) -> Column:
+        """In the first round."""
+        rank = F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(rank_mask))
+        return h.bitwiseAND(F.lit(order_mask)).bitwiseOR(rank).bitwiseOR(pos)
+
+    def late_key(x: Column, r: Column) -> Column:
+        """Of the k-mer with first key ``x`` in round ``r``."""
+        h = F.xxhash64(F.shiftrightunsigned(x, 31), r)
+        rank = F.shiftrightunsigned(h, 1 + _ROUND_BITS).bitwiseAND(F.lit(late_mask)).bitwiseOR(F.shiftleft(r.cast("long"), 31 + late_bits))
+        return h.bitwiseAND(F.lit(order_mask)).bitwiseOR(F.lit(late_mark)).bitwiseOR(rank).bitwiseOR(_pos(x))
+
+    order_of = lambda x: F.shiftrightunsigned(x, 64 - m_bits)
+    kmer = lambda x: F.shiftrightunsigned(x, 31)
+    code = lambda x: F.shiftrightunsigned(x, 31).bitwiseAND(F.lit((1 << (rank_bits + 1)) - 1))
+
+    w = step("words", F.split(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_SPACE)), "[\\x20\\x09-\\x0D]+"))
+    n = F.size(w)
     hashed = F.when(
-        n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[at(i, j) for j in range(k)]))
-    ).otherwise(F.array(F.xxhash64(w)))
-    df = step(df, "hashes", F.sort_array(F.transform(hashed, lambda h, i: _with_position(h, i.cast("long")))))
-    s = c["hashes"]
-    df = step(df, "runs", F.filter(
-        F.sequence(F.lit(0), F.size(s) - 1),
-        lambda i: (i == 0) | (_kmer(F.get(s, i)) != _kmer(F.get(s, i - 1))),
-    ))
-    runs = c["runs"]
-    numbered = F.flatten(F.transform(runs, lambda start, j: F.transform(
-        F.slice(s, start + 1, F.coalesce(F.get(runs, j + 1), F.size(s)) - start),
-        lambda x, occurrence: _with_position(F.xxhash64(_kmer(x), occurrence), x),
+        n >= k,
+        F.transform(
+            F.sequence(F.lit(0), n - k),
+            lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]).bitwiseAND(F.lit(~_POS)).bitwiseOR(i.cast("long")),
+        ),
+    ).otherwise(F.array(F.xxhash64(w).bitwiseAND(F.lit(~_POS))))
+    s = step("sorted", F.sort_array(hashed))
+    # first occurrences; the others are numbered apart, since most k-mers occur once
+    firsts = step("firsts", F.transform(s, lambda x, i: F.when(
+        (i > 0) & (kmer(x) == kmer(F.get(s, i - 1))), F.lit(absent)
+    ).otherwise(key(F.xxhash64(kmer(x), F.lit(0)), _pos(x)))))
+    again = step("again", F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(firsts, i) == absent))
+    begins = step("begins", F.filter(F.sequence(F.lit(0), F.size(again)), lambda j: (j < F.size(again)) & (
+        (j == 0) | (F.get(again, j - 1) != F.get(again, j) - 1))))
+    others = F.flatten(F.transform(begins, lambda b, i: F.transform(
+        F.slice(again, b + 1, F.coalesce(F.get(begins, i + 1), F.size(again)) - b),
+        lambda at, occurrence: key(F.xxhash64(kmer(F.get(s, at)), occurrence + 1), _pos(F.get(s, at))),
     )))
-    df = step(df, "circle", F.sort_array(numbered))
-    circle = c["circle"]
-    # the l smallest of each bin are all that the points can choose
-    df = step(df, "low", F.filter(
-        circle, lambda x, i: (i < l) | (_bin(F.get(circle, i - l), m_bits) != _bin(x, m_bits))
-    ))
-    low = c["low"]
-    df = step(df, "first", F.filter(
-        F.sequence(F.lit(0), F.size(low) - 1),
-        lambda i: (i == 0) | (_bin(F.get(low, i), m_bits) != _bin(F.get(low, i - 1), m_bits)),
-    ))
-    first, r = c["first"], F.size(low)
-
-    def chosen(i: Column) -> Column:
-        picks = F.slice(F.concat(low, low), i + 1, F.least(F.lit(l), r))
-        by_pos = F.sort_array(F.transform(picks, lambda x: F.struct(
-            x.bitwiseAND(F.lit(_POS)).alias("p"), _kmer(x).alias("h"))))
-        return F.shiftright(F.xxhash64(F.transform(by_pos, lambda y: y["h"])), 32).cast("int")
-
-    # a point chooses the first element in its bin or in the next one that has any; behind the last, the first of all
-    span = lambda i, j: F.when(j == 0, _bin(F.get(low, i), m_bits) + 1).otherwise(
-        _bin(F.get(low, i), m_bits) - _bin(F.get(low, F.get(first, j - 1)), m_bits))
-    body = F.flatten(F.transform(first, lambda i, j: F.array_repeat(chosen(i), span(i, j))))
-    df = df.withColumn(f"{names['first']}_b", body)
-    body = F.col(f"{names['first']}_b")
+    keys = step("keys", F.concat(firsts, others))
+    total = F.size(s)
+    wanted = points * m  # k-mers dealt in all
+    rounds = F.least(F.ceil(F.lit(wanted) / total), F.lit((1 << _ROUND_BITS) - 1)).cast("int")
+    bound = F.floor(F.least(F.lit(1.0), F.lit(float(wanted)) / total) * F.lit(float(1 << rank_bits))).cast("long")
+    first_round = F.filter(keys, lambda x: (x != absent) & (F.shiftrightunsigned(x, 31).bitwiseAND(F.lit((1 << rank_bits) - 1)) < bound))
+    late = F.when(rounds > 1, F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(rounds - 1, F.lit(1))),
+        lambda r: F.transform(F.filter(keys, lambda x: x != absent), lambda x: late_key(x, r)),
+    ))).otherwise(F.array().cast("array<bigint>"))
+    dealt = step("dealt", F.sort_array(F.concat(first_round, late)))
+    starts = step("starts", F.filter(F.sequence(F.lit(0), F.size(dealt)), lambda i: (i < F.size(dealt)) & (
+        (i == 0) | (order_of(F.get(dealt, i)) != order_of(F.get(dealt, i - 1))))))
+    rest = step("rest", F.transform(starts, lambda i, j: F.slice(dealt, i + 1, F.coalesce(F.get(starts, j + 1), F.size(dealt)) - i)))
+    orders = step("orders", F.transform(rest, lambda r: order_of(r[0]).cast("int")))
+    minimal = []  # (position, code) of the first, second, ... k-mer of each order
+    for i in range(l):
+        minimal.append(step(f"minimal{i}", F.transform(rest, lambda r: F.shiftleft(_pos(F.get(r, F.lit(0))), rank_bits + 1).bitwiseOR(code(F.get(r, F.lit(0)))))))
+        if i < l - 1:
+            rest = step(f"rest{i}", F.transform(rest, lambda r: F.filter(r, lambda x: _pos(x) != _pos(r[0]))))
+    tuples = step("tuples", F.transform(minimal[0], lambda x, i: F.shiftright(F.xxhash64(F.transform(
+        F.sort_array(F.array(x, *[F.get(y, i) for y in minimal[1:]])), lambda y: y.bitwiseAND(F.lit((1 << (rank_bits + 1)) - 1))
+    )), 32).cast("int")))
+    # orders are sorted by their sign bit first; an order without k-mers takes the next one's tuple, the last ones that of the first
+    at = lambda o: F.pmod(o + m // 2, F.lit(m)).cast("int")
+    body = step("body", F.flatten(F.transform(tuples, lambda t, i: F.array_repeat(t, F.when(i == 0, at(F.get(orders, i)) + 1).otherwise(
+        at(F.get(orders, i)) - at(F.get(orders, i - 1)))))))
     tail = F.array_repeat(F.get(body, F.lit(0)), F.lit(m) - F.size(body))
-    return df.select(*keep, F.concat(body, tail).alias(out_col))
+    return frame.select(*keep, F.concat(body, tail).alias(out_col))
 
 
 def as_text(sig: Column) -> Column:
@@ -122,19 +157,21 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, carry: list[str], buc
     """
     share = [i / buckets for i in range(1, buckets)]
     cut = docs.agg(F.min(id_col).alias("lo"), F.percentile_approx(id_col, share, 10_000).alias("q") if share else F.array().alias("q")).first()
-    bounds = sorted({cut["lo"], *(cut["q"] or [])} - {None})
-    ident = F.col(id_col)
-    if not bounds:
-        bucket = F.lit(0)
-        starts, previous = ident.isNull(), F.lit(0)
-    else:
-        edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-        bucket = F.when(ident.isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b <= ident)) - 1)
-        starts = ident.isNull() | F.array_contains(edges, ident)
-        previous = F.when(ident.isNull() | (ident == bounds[0]), len(bounds) - 1).otherwise(F.size(F.filter(edges, lambda b: b < ident)) - 1)
+    bounds = sorted({cut["lo"], *(cut["q"] or [])} - {None}) or [0]
+    ident, last = F.col(id_col), len(bounds) - 1
+    # a range is found in two steps, among every wide-th bound and then among the next wide ones
+    wide = int(len(bounds) ** 0.5) + 1
+    edges, coarse = (F.array(*[F.lit(x).cast("long") for x in part]) for part in (bounds, bounds[::wide]))
+    group = F.size(F.filter(coarse, lambda x: x <= ident)) - 1
+    within = F.size(F.filter(F.slice(edges, group * wide + 1, F.lit(wide)), lambda x: x <= ident)) - 1
+    bucket = F.when(ident.isNull(), 0).otherwise(group * wide + within)
+    ranged = docs.withColumn("__omh_bucket", bucket)
+    bucket = F.col("__omh_bucket")
+    starts = ident.isNull() | (F.get(edges, bucket) == ident)
+    previous = F.when(ident.isNull() | (bucket == 0), last).otherwise(bucket - 1)
     own = F.struct(bucket.alias("bucket"), F.lit(0).alias("end"))
     as_end = F.struct(previous.alias("bucket"), F.lit(1).alias("end"))
-    dealt = docs.select("*", F.explode(F.when(starts, F.array(own, as_end)).otherwise(F.array(own))).alias("__omh_at"))
+    dealt = ranged.select(*docs.columns, F.explode(F.when(starts, F.array(own, as_end)).otherwise(F.array(own))).alias("__omh_at"))
     order = Window.partitionBy("__omh_at.bucket").orderBy("__omh_at.end", F.col(id_col).asc_nulls_first(), text_col)
     ahead = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry])
     return ahead.where("__omh_at.end = 0").drop("__omh_at")

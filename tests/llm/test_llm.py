@@ -65,6 +65,72 @@ def test_order_minhash_edits(docs):
     assert all(len(r["sig"]) == 64 and len(r["edited_sig"]) == 64 and 0 <= r["near"] <= 1 for r in rows)
 
 
+def plain_signature(text, k=2, l=2, m_bits=6, points=8):  # noqa: E741
+    """The signature as its definition says, without keys, bit fields or sorted runs."""
+    import xxhash
+
+    def mix(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, int) and v < 1 << 30 else "<q", v), h)
+        return h
+
+    long = lambda v: xxhash.xxh64_intdigest(struct.pack("<q", v), 42)
+    w = re.split(r"[\x20\x09-\x0D]+", text.strip(" \t\n\x0b\x0c\r"))
+    found = [mix(*w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [mix(*w)]
+    m, rank_bits, seen, kmers = 1 << m_bits, 32 - m_bits, {}, []
+    for pos, h in enumerate(found):
+        h >>= 31
+        seen[h] = seen.get(h, -1) + 1
+        h2 = xxhash.xxh64_intdigest(struct.pack("<i", seen[h]), long(h))
+        kmers.append((h2 >> 64 - m_bits, h2 >> 32 & (1 << rank_bits) - 1, pos))
+    orders = [[] for _ in range(m)]
+    share = points * m / len(kmers)
+    for order, rank, pos in kmers:
+        if rank < int(min(1, share) * (1 << rank_bits)):
+            orders[order].append((rank, pos))
+    for r in range(1, min(1023, -(-points * m // len(kmers)))):
+        for order, rank, pos in kmers:
+            h = xxhash.xxh64_intdigest(struct.pack("<i", r), long(order << rank_bits + 1 | rank))
+            low = rank_bits - 10
+            orders[h >> 64 - m_bits].append((1 << rank_bits | r << low | h >> 42 & (1 << low) - 1, pos))
+    values = []
+    for o in orders:
+        minimal = {}
+        for rank, pos in sorted(o):
+            if pos not in minimal and len(minimal) < l:
+                minimal[pos] = rank
+        h = 42
+        for pos in sorted(minimal):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", minimal[pos]), h)
+        values.append((h >> 32) if o else None)
+    values = values[m // 2 :] + values[: m // 2]
+    for i in reversed(range(m)):
+        if values[i] is None:
+            values[i] = next((v for v in values[i + 1 :] if v is not None), None)
+    first = next(v for v in values if v is not None)
+    return [first if v is None else v for v in values]
+
+
+@pytest.mark.parametrize("kw", [{}, {"k": 1, "l": 3, "m_bits": 4}, {"k": 3, "l": 1, "points": 2}])
+def test_order_minhash_is_its_definition(spark, kw):
+    rng = random.Random(12)
+    texts = ["", "a", "a b", "a b c", "x " * 700, "a b a b a b c", " \t\n", "é ü\u00a0ö"] + [words(rng, n, v) for n in (5, 60, 300, 511, 513, 2500) for v in (20, 4000)]
+    rows = fingerprints.signature(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "sig", **kw).collect()
+    for r in rows:
+        assert [x % 2**32 for x in r["sig"]] == plain_signature(r["text"], **kw), r["text"][:40]
+
+
+def test_order_minhash_next_document_over_ranges(spark):
+    ids = [None, None, -5, -5, 0, 1, 2, 3, 50, 51, 10**12, 7, 7, 9, 11, 13, 14, 15, 16, 17]
+    rows = spark.createDataFrame([(d, f"t{i:02d}") for i, d in enumerate(ids)], "doc_id long, text string")
+    order = sorted(((d is not None, d or 0, f"t{i:02d}") for i, d in enumerate(ids)))
+    want = {t: order[(i + 1) % len(order)][2] for i, (_, _, t) in enumerate(order)}
+    for buckets in (1, 2, 5, 100):
+        got = {r["text"]: r["next_text"] for r in fingerprints.with_next(rows, "doc_id", "text", ["text"], buckets).collect()}
+        assert got == want
+
+
 def test_order_minhash_likeness(spark):
     rng = random.Random(5)
     base = [words(rng, 300, 5000) for _ in range(20)]
