@@ -3,10 +3,13 @@
 A document longer than a sequence is cut into full pieces and a rest; nothing
 else is cut.  Pieces are then packed in rounds.  In each round every partition
 packs its items best-fit in falling order of size, bins that are full to
-within ``slack`` tokens are final, and the underfull ones become the items of
-the next round, which runs on a ``fan_in``-th of the partitions.  The last
-round runs where the remaining items fit ``max_items`` per partition, and all
-its bins are final.
+within ``slack`` tokens are final, and so are those that not even the smallest
+bin left anywhere would fit.  The others become the items of the next round,
+which deals them anew to a ``fan_in``-th of the partitions, but never more than
+``max_items`` to one.  Rounds go on until no bin is left; what one partition
+held whole is final, and a round that merges nothing at its full width ends
+them.  Best fit leaves at most one bin a partition that is half full or less,
+so the smallest bins are soon gone, and then no two bins fit together.
 
 An item carries the pieces it holds (at most ``capacity`` of them), so a round
 moves only small rows and no text.  Rounds are written to the shared folder.
@@ -158,9 +161,7 @@ def pack(
 ) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``tokenise``.
 
-    ``pieces`` is read more than once, so it should be a stored table.  Rounds
-    end when one partition has held all that was left, or when a round of
-    ``max_items`` a partition has found less than a tenth to merge.
+    ``pieces`` is read more than once, so it should be a stored table.
     """
     items = pieces.select(
         F.col("length").cast("int").alias("size"),
@@ -173,21 +174,20 @@ def pack(
     n = rest.count()
     width, round_no = max(1, -(-n // first_items)), 1
     while n:
-        by_piece = F.xxhash64(F.transform("pieces", lambda p: p["doc_id"]), F.transform("pieces", lambda p: p["piece"]))
-        last = width == 1
-        packed = rest.repartition(width, by_piece).mapInArrow(
+        least, last = max(1, -(-n // max_items)), width == 1
+        held = lambda c: F.transform("pieces", lambda p: p[c])
+        packed = rest.repartition(width, F.xxhash64(F.lit(round_no), held("doc_id"), held("piece"))).mapInArrow(
             _pack_partition(capacity, 0 if last else capacity - slack, round_no),
             f"{_ITEM}, final boolean, sequence_id bigint",
         )
         packed = materialise(packed, f"packing-{round_no}")
-        done.append(packed.where("final").select("pieces", "sequence_id"))
-        rest, before = packed.where("not final").select("size", "pieces"), n
-        n = rest.count()
-        least = -(-n // max_items)
-        if n > 0.9 * before and least > 1:  # too many large items to bring together: they stay as they are
-            done.append(packed.where("not final").select("pieces", "sequence_id"))
-            break
-        width, round_no = max(1, least, width // fan_in), round_no + 1
+        left = packed.where("not final")
+        bins, smallest = packed.agg(F.count("*"), F.min(F.when(~F.col("final"), F.col("size")))).first()
+        room = 0 if smallest is None or (bins == n and width <= least) else capacity - smallest
+        done.append(packed.where(F.col("final") | (F.col("size") > room)).select("pieces", "sequence_id"))
+        rest = left.where(F.col("size") <= room).select("size", "pieces")
+        n = rest.count() if room else 0
+        width, round_no = max(1, -(-n // max_items), width // fan_in), round_no + 1
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)

@@ -279,6 +279,21 @@ def test_packing_rounds(spark):
     assert len({r["sequence_id"] for r in got}) <= 1.01 * sum(sizes) / 2048 + 1
 
 
+@pytest.mark.parametrize("low, high", [(1, 1500), (700, 1500), (1030, 1900), (1, 40)])
+def test_packing_rounds_wider_than_one_partition(spark, low, high):
+    """More items than one partition may hold: no two sequences of the result would fit together."""
+    rng = random.Random(5)
+    sizes = [rng.randrange(low, high) for _ in range(2500)]
+    df = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    bins = {}
+    for r in packing.pack(df, first_items=60, fan_in=4, max_items=150).collect():
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    fills = sorted(map(sum, bins.values()))
+    assert sorted(x for b in bins.values() for x in b) == sorted(sizes) and fills[-1] <= 2048
+    assert len(fills) <= 1.04 * len(packing.best_fit(sizes, 2048)) + 1
+    assert sum(fills[i] + fills[i + 1] <= 2048 for i in range(len(fills) - 1)) <= 1
+
+
 def test_best_fit_and_empty(empty):
     assert sorted(map(sorted, packing.best_fit([5, 4, 3, 2, 1], 8))) == [[0, 2], [1, 3, 4]]
     assert packing.tokenise_and_pack(empty, WORD_BPE).collect() == []
