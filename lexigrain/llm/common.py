@@ -22,7 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get(_CHECKPOINT, None)
     if path is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lexigrain-")
+        if known.isDefined():
+            path = known.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            path = tempfile.mkdtemp(prefix="lexigrain-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set(_CHECKPOINT, path)
     return path.rstrip("/")
 
@@ -44,15 +49,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything ``materialise`` wrote, once no lazy result needs it."""
+    """Deletes everything ``materialise`` wrote, once no lazy result needs it."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexigrain")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch: documents can be very long."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> None:
+    """Bounds an Arrow batch by rows and by bytes: documents can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,6 +102,24 @@ def trimmed(store: dict, limit: int) -> dict:
     return dict(islice(store.items(), len(store) // 2, None)) if len(store) > limit else store
 
 
+def join_on_key(rows: DataFrame, table: DataFrame, key: str, held: str, spread: str, share: int = 4096, salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a ``key`` and in ``held`` how many rows hold that key.
+
+    Keys that more than one row in ``share`` holds are at most ``share`` keys,
+    so they may be broadcast; their rows are dealt to ``salts`` parts by a hash
+    of ``spread``, and their rows of ``table`` go to each part.  ``table``
+    should be stored, as it is read three times.  ``held`` is not returned.
+    """
+    total = table.agg(F.sum(held)).first()[0] or 0
+    hot = F.col(held) > total / share
+    marks = F.broadcast(table.where(hot).select(key, F.lit(salts).alias("_parts")))
+    left = rows.join(marks, key, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    parts = F.sequence(F.lit(0), F.when(hot, F.lit(salts - 1)).otherwise(F.lit(0)))
+    right = table.withColumn("_salt", F.explode(parts)).drop(held)
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b).
 

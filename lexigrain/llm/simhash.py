@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import connected_components, id_text, materialise
+from lexigrain.llm.common import connected_components, id_text, join_on_key, materialise
 
 SEED = 42
 
@@ -107,12 +107,12 @@ def near_duplicates(
     ``max_bits`` differing bits.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, width), "simhash")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-classes")
     roots = connected_components(links(classes.select("fp"), max_bits), "simhash-links")
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "copies", "first_id", F.coalesce("root", "fp").alias("root")
     )
     # classes of one fingerprint need no second pass; only linked ones share a root
     component = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(component, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(rooted.join(component, "root").select("fp", "copies", "component_id"), "simhash-named")
+    return join_on_key(rows, named, "fp", "copies", "doc_id").select("doc_id", "fp", "component_id")

@@ -4,14 +4,17 @@ A gear rolling hash of the last 16 bytes cuts a text behind white space where
 it falls under a bound (one word end in ``words_a_chunk``; anywhere else, in
 texts without white space, once in 256 bytes).  Cuts depend on nothing but
 these bytes, so a passage has the same chunks wherever it stands and whatever
-was inserted before it.  A chunk whose digest occurs in more than one document
-belongs to the smallest id; in the others a run of such chunks of at least
-``min_words`` words is a repeated passage and is cut out.
+was inserted before it.  What is compared is runs of ``join`` successive chunks,
+one begun at each chunk, by the digest of them all: single chunks are short and
+meet by chance.  A run whose digest occurs in more than one document belongs to
+the smallest id; in the others such runs overlap to a repeated passage, which is
+cut out if it has at least ``min_words`` words.
 
 Digests travel as 16 bytes a chunk, once to be aggregated (a digest in a third
 of all documents is one row per task) and once to find the documents that
-repeat one; texts are only read again, where they stand.  ``min_words`` is half
-of the 50 words looked for, since the chunks at the two ends of a passage also
+repeat one, where the rows of digests that very many hold are dealt to many
+parts; texts are only read again, where they stand.  ``min_words`` is less than
+the 50 words looked for, since the chunks at the two ends of a passage also
 hold other text.
 
 Defined results: null text counts as empty and stays empty; a document all of
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import gear_hashes, id_text
+from lexigrain.llm.common import gear_hashes, id_text, join_on_key, materialise
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
@@ -57,8 +60,18 @@ def digests(raw: bytes, ends: np.ndarray) -> list[int]:
     return out
 
 
-def repeated_spans(text: str, repeated: set[int], words_a_chunk: int, min_words: int) -> list[tuple[int, int]]:
-    """Code-point spans of runs of repeated chunks of at least ``min_words`` words."""
+def run_digests(raw: bytes, ends: np.ndarray, join: int) -> list[int]:
+    """A digest of each ``join`` successive chunks; of all of them, if they are fewer."""
+    own = np.array(digests(raw, ends), np.int64).view(np.uint64)
+    n, out = max(1, len(own) - join + 1), np.zeros(max(1, len(own) - join + 1), np.uint64)
+    for i in range(min(join, len(own))):
+        out = (out ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64).tolist()
+
+
+def repeated_spans(text: str, repeated: set[int], words_a_chunk: int, min_words: int, join: int) -> list[tuple[int, int]]:
+    """Code-point spans of overlapping repeated runs that have at least ``min_words`` words together."""
     raw = text.encode("utf-8")
     if not raw or not repeated:
         return []
@@ -69,8 +82,11 @@ def repeated_spans(text: str, repeated: set[int], words_a_chunk: int, min_words:
     first = ~space & np.concatenate(([True], space[:-1]))
     words = np.concatenate(([0], np.cumsum(first)))
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    flags = np.fromiter((d in repeated for d in digests(raw, ends)), bool, len(ends))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    begun = np.flatnonzero(np.fromiter((d in repeated for d in run_digests(raw, ends, join)), bool))
+    cover = np.zeros(len(ends) + 1, np.int64)  # by how many repeated runs a chunk is covered, as differences
+    np.add.at(cover, begun, 1)
+    np.add.at(cover, np.minimum(begun + join, len(ends)), -1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))))
     out = []
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         lo, hi = int(starts[a]), int(ends[b - 1])
@@ -80,7 +96,7 @@ def repeated_spans(text: str, repeated: set[int], words_a_chunk: int, min_words:
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_chunk: int = 4, min_words: int = 25
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_chunk: int = 4, min_words: int = 30, join: int = 3
 ) -> DataFrame:
     """(row, spans, kept_text): each row of ``docs`` as a struct, and its cuts.
 
@@ -95,19 +111,20 @@ def repeated_passages(
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8")
                 if raw:
-                    own = set(digests(raw, chunk_ends(np.frombuffer(raw, np.uint8), words_a_chunk)))
+                    own = set(run_digests(raw, chunk_ends(np.frombuffer(raw, np.uint8), words_a_chunk), join))
                     found.extend(own)
                     ids.extend([_LAST if doc_id is None else doc_id] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc", "digest"])
 
     held = rows.mapInArrow(chunks, "doc long, digest long")
-    owners = held.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).where("owner < other")
-    repeats = held.join(owners.select("digest", "owner"), "digest").where("doc <> owner")
+    owners = held.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("other"), F.count("*").alias("held"))
+    owners = materialise(owners.where("owner < other").drop("other"), "substrings-owners")
+    repeats = join_on_key(held, owners, "digest", "held", "doc").where("doc <> owner")
     by_doc = repeats.groupBy("doc").agg(F.collect_list("digest").alias("repeats"))
-    return with_cuts(docs, by_doc, id_col, text_col, words_a_chunk, min_words)
+    return with_cuts(docs, by_doc, id_col, text_col, words_a_chunk, min_words, join)
 
 
-def with_cuts(docs: DataFrame, by_doc: DataFrame, id_col: str, text_col: str, words_a_chunk: int, min_words: int) -> DataFrame:
+def with_cuts(docs: DataFrame, by_doc: DataFrame, id_col: str, text_col: str, words_a_chunk: int, min_words: int, join: int) -> DataFrame:
     """``docs`` with spans and kept_text, given the repeated digests by document."""
 
     @F.pandas_udf("spans array<struct<start:bigint,stop:bigint>>, kept_text string")
@@ -118,7 +135,7 @@ def with_cuts(docs: DataFrame, by_doc: DataFrame, id_col: str, text_col: str, wo
                 spans.append([])
                 kept.append(None)
                 continue
-            found = repeated_spans(text, set(repeated.tolist()), words_a_chunk, min_words)
+            found = repeated_spans(text, set(repeated.tolist()), words_a_chunk, min_words, join)
             at, parts = 0, []
             for lo, hi in found:
                 parts.append(text[at:lo])

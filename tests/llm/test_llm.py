@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexigrain.llm import bpe, fingerprints, html, licenses, neighbours, packing, planted, quality, simhash, substrings, warc
@@ -326,6 +327,72 @@ def test_repeated_passages(spark):
         assert r["kept_text"] == "".join([*keep, texts[i][at:]])
 
 
+def brute_passages(rows, words_a_chunk=4, min_words=30, join=3):
+    """Spans by the definition, with chunks cut one byte at a time and runs compared as bytes."""
+    def chunks(raw):
+        out, start, gear = [], 0, [int(gear_hashes(np.array([c], np.uint8))[0]) for c in range(256)]
+        for i in range(len(raw) - 1):
+            h = 0
+            for j in range(max(0, i - 15), i + 1):
+                h = (h << 1) + gear[raw[j]] & 0xFFFFFFFF
+            limit = 2**32 // words_a_chunk if raw[i] in b" \t\n\x0b\x0c\r" else 2**24
+            if h < limit and raw[i + 1] & 0xC0 != 0x80:
+                out.append((start, i + 1))
+                start = i + 1
+        return [*out, (start, len(raw))] if raw else []
+
+    split = [(k, t.encode(), chunks(t.encode())) for k, t in rows]
+    runs = [[tuple(raw[a:b].strip() for a, b in c[i : i + join]) for i in range(max(1, len(c) - join + 1))] if c else [] for _, raw, c in split]
+    owner = {}
+    for (k, _, _), own in zip(split, runs, strict=True):
+        for r in own:
+            owner[r] = min(owner.get(r, k), k)
+    out = {}
+    for (k, raw, c), own in zip(split, runs, strict=True):
+        covered = {j for i, r in enumerate(own) if owner[r] < k for j in range(i, min(i + join, len(c)))}
+        spans, i = [], 0
+        while i < len(c):
+            j = i
+            while j in covered:
+                j += 1
+            if j > i:
+                lo, hi = c[i][0], c[j - 1][1]
+                before = raw[lo - 1 : lo].strip() != b"" and raw[lo : lo + 1].strip() != b""
+                if len(raw[lo:hi].split()) - before >= min_words:
+                    spans.append((len(raw[:lo].decode()), len(raw[:hi].decode())))
+            i = max(j, i + 1)
+        out[k] = spans
+    return out
+
+
+def test_repeated_passages_are_as_defined(spark):
+    rng = random.Random(14)
+    texts = [words(rng, rng.randrange(20, 120), 300) for _ in range(20)] + ["été " * 90, "x été " + "été " * 80, "", "日本語" * 200, "go 日本語" + "日本語" * 150]
+    for d in (5, 9, 13, 17):
+        texts[d] += " " + texts[d - 4] + "\n" + texts[2][: 40 * d]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["row"]["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in substrings.repeated_passages(df).collect()}
+    assert got == brute_passages(rows) and sum(map(len, got.values())) >= 5
+
+
+def test_short_common_chunks_are_no_passage(spark):
+    """Texts of words that all occur elsewhere, and runs of one word, but no passage that repeats."""
+    rng = random.Random(15)
+    rows = [(i, words(rng, 400, 60)) for i in range(40)] + [(100 + i, f"w{i}x " * 200) for i in range(30)]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(bool(r["spans"]) for r in got) == 0
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from lexigrain.llm.common import join_on_key
+
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(600)], "doc long, key long").cache()
+    table = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("doc").alias("first")).cache()
+    got = sorted(map(tuple, join_on_key(rows, table, "key", "held", "doc", share=10, salts=4).select("doc", "key", "first").collect()))
+    assert got == sorted((i, 0 if i % 3 else i, 0 if i == 0 or i % 3 else i) for i in range(600))
+
+
 def test_chunks_resist_shifts():
     text = words(random.Random(2), 500).encode()
     a, b = (np.frombuffer(x, np.uint8) for x in (text, b"some words before " + text))
