@@ -98,7 +98,7 @@ def signature(df: DataFrame, text_col: str, out_col: str, k: int = 2, l: int = 2
     firsts = step("firsts", F.transform(s, lambda x, i: F.when(
         (i > 0) & (kmer(x) == kmer(F.get(s, i - 1))), F.lit(absent)
     ).otherwise(key(F.xxhash64(kmer(x), F.lit(0)), _pos(x)))))
-    again = step("again", F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(firsts, i) == absent))
+    again = step("again", F.filter(F.transform(firsts, lambda x, i: F.when(x == absent, i)), lambda i: i.isNotNull()))
     begins = step("begins", F.filter(F.sequence(F.lit(0), F.size(again)), lambda j: (j < F.size(again)) & (
         (j == 0) | (F.get(again, j - 1) != F.get(again, j) - 1))))
     others = F.flatten(F.transform(begins, lambda b, i: F.transform(
@@ -125,8 +125,12 @@ def signature(df: DataFrame, text_col: str, out_col: str, k: int = 2, l: int = 2
         minimal.append(step(f"minimal{i}", F.transform(rest, lambda r: F.shiftleft(_pos(F.get(r, F.lit(0))), rank_bits + 1).bitwiseOR(code(F.get(r, F.lit(0)))))))
         if i < l - 1:
             rest = step(f"rest{i}", F.transform(rest, lambda r: F.filter(r, lambda x: _pos(x) != _pos(r[0]))))
-    tuples = step("tuples", F.transform(minimal[0], lambda x, i: F.shiftright(F.xxhash64(F.transform(
-        F.sort_array(F.array(x, *[F.get(y, i) for y in minimal[1:]])), lambda y: y.bitwiseAND(F.lit((1 << (rank_bits + 1)) - 1))
+    # zipped, not fetched by index: what a lambda names once would be computed again for each element
+    chosen = F.transform(minimal[0], lambda x: F.array(x))
+    for more in minimal[1:]:
+        chosen = F.zip_with(chosen, more, lambda x, y: F.concat(x, F.array(y)))
+    tuples = step("tuples", F.transform(chosen, lambda x: F.shiftright(F.xxhash64(F.transform(
+        F.sort_array(x), lambda y: y.bitwiseAND(F.lit((1 << (rank_bits + 1)) - 1))
     )), 32).cast("int")))
     # orders are sorted by their sign bit first; an order without k-mers takes the next one's tuple, the last ones that of the first
     at = lambda o: F.pmod(o + m // 2, F.lit(m)).cast("int")
