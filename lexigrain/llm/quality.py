@@ -10,14 +10,16 @@ means, the share of different tokens and the logarithm of the token count.  A
 two-layer network (numpy) turns that into a logit, and a temperature fitted on
 held-back rows of the sample turns logits into calibrated probabilities.
 
-The classifier is fitted on at most ``sample_rows`` labelled rows, taken in the
-order of a hash of their ids; this bound is a parameter.  Every row of the
-table is scored on its whole text.
+The classifier is fitted on at most ``sample_rows`` labelled rows of at most
+``sample_bytes`` of text together, taken in the order of a hash of their ids;
+these bounds are parameters.  A text is learnt from whole or not at all: one
+that would pass the second bound is left out.  Every row of the table is scored
+on its whole text.
 
 Defined results: null text counts as empty, and empty texts get the score of a
 document without tokens; null ids are scored and count as not held out; rows
 without a label are scored as any other; of several labels of an id the
-largest counts; with no labelled rows every score is 0.5, with labels of one
+largest counts; repeated rows are learnt from once and scored each; with no labelled rows every score is 0.5, with labels of one
 kind only the score is the share of label 1, smoothed; an empty table gives
 an empty one; other columns are ignored.
 """
@@ -193,8 +195,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4_000) -> Model:
-    """Learns from at most ``sample_rows`` labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4_000, sample_bytes: int = 24_000_000) -> Model:
+    """Learns from a bounded sample of the labelled rows that are not held out."""
     marks = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -203,7 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the sample is bounded, so its ids may be broadcast; ids without a row are met by taking twice as many
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = marks.orderBy(*order).limit(2 * sample_rows)
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(sample_rows).collect()
+    texts = id_text(docs, id_col, text_col)
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.octet_length("text").alias("size"), F.xxhash64("text").alias("text_key"))
+    sizes = found.distinct().orderBy(*order, "text_key").limit(sample_rows).collect()  # ids and sizes only
+    left, taken = sample_bytes, []
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r["doc_id"], r["text_key"], r["label"]))
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(taken, "doc_id long, text_key long, label int")
+    rows = texts.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "text_key"])
+    rows = rows.dropDuplicates(["doc_id", "text_key"]).orderBy(*order, "text_key").select("text", "label").collect()
     return fit_texts([r["text"] for r in rows], [r["label"] for r in rows])
 
 

@@ -428,6 +428,36 @@ def test_quality_on_held_out_rows(spark):
     assert docs.where(quality.held_out()).count() == len(held)
 
 
+def test_quality_is_calibrated():
+    """Labels that are noise in part: scores must tell how often, on texts the fit did not see."""
+    rng, texts, labels = random.Random(16), [], []
+    for _ in range(3000):
+        good = rng.random() < 0.5
+        texts.append(words(rng, 40, 300) if good else " ".join(f"v{rng.randrange(300)}x" for _ in range(40)))
+        labels.append(int(good if rng.random() < 0.8 else not good))
+    model = quality.fit_texts(texts[:2000], labels[:2000])
+    scores, y = model.scores(texts[2000:], {}), np.array(labels[2000:])
+    for lo, hi in ((0, 0.5), (0.5, 1)):
+        part = (scores >= lo) & (scores < hi)
+        assert part.sum() > 200 and abs(scores[part].mean() - y[part].mean()) < 0.1
+    logits = np.log(scores / (1 - scores))
+    loss = lambda t: np.logaddexp(0, -np.where(y > 0, 1, -1) * logits / t).mean()
+    assert loss(1) <= min(loss(0.5), loss(2)) and loss(1) <= loss(1 / model.temperature)
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "word " * 20_000 if i % 10 == 0 else words(random.Random(i), 30), i % 2) for i in range(300)] + [(5, "twice " * 3, 1), (5, "twice " * 3, 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = []
+    real, quality.fit_texts = quality.fit_texts, lambda texts, marks: seen.append(texts) or real(texts, marks)
+    try:
+        quality.fit(docs, labels, sample_bytes=150_000)
+    finally:
+        quality.fit_texts = real
+    assert 100 < len(seen[0]) < 300 and sum(len(t) for t in seen[0]) <= 150_000 and seen[0].count("twice " * 3) <= 1
+
+
 def test_quality_odd_tables(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, none)).collect()} == {0.5}
