@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,16 @@ ARTICLE = re.compile(
 _DIGIT, _NAMED = re.compile(r"\d"), re.compile("A(?:RTICLE|rticle)|S(?:ECTION|ection)")
 BLANK_LINE = re.compile(r"\n[ \t]*\n")
 TITLE_WINDOW = 80
+_TITLE_END, _WORD = re.compile("\n|  "), re.compile(r"\S+")
+
+
+class Range(NamedTuple):
+    """Words ``lo`` to ``hi`` of a text, under a heading's title; ``cut`` out of a paragraph or not."""
+
+    lo: int
+    hi: int
+    title: str | None
+    cut: bool = False
 
 
 @dataclass(frozen=True)
@@ -51,104 +64,94 @@ class ChunkLimits:
 
 def headings(text: str) -> list[tuple[int, str, str]]:
     """(offset, label, title) of each heading in order; the longer label at one offset."""
-    best: dict[int, str] = {}
-    kinds = [NUMBERED] * bool(_DIGIT.search(text)) + [ARTICLE] * bool(_NAMED.search(text))
-    for kind in kinds:
-        for m in kind.finditer(text):
-            at, label = m.start("label"), m["label"]
-            if len(label) > len(best.get(at, "")):
-                best[at] = label
-    out = []
-    for at, label in sorted(best.items()):
-        title = text[at : at + TITLE_WINDOW]
-        for end in ("\n", "  "):
-            if (k := title.find(end)) > 0:
-                title = title[:k]
-        out.append((at, label, title.strip()))
+    marks = [(m.start("label"), m["label"]) for kind, hint in ((NUMBERED, _DIGIT), (ARTICLE, _NAMED)) if hint.search(text) for m in kind.finditer(text)]
+    longest = dict(sorted(marks, key=lambda m: (m[0], len(m[1]))))
+    return [(at, label, _TITLE_END.split(text[at : at + TITLE_WINDOW], maxsplit=1)[0].strip()) for at, label in longest.items()]
+
+
+Count = Callable[[str, list[tuple[int, int]]], "np.ndarray"]
+
+
+def word_count(text: str, words: list[tuple[int, int]]) -> np.ndarray:
+    """Tokens up to each word, where every word is one token."""
+    return np.arange(len(words) + 1)
+
+
+def tokenizer_count(path: str) -> Count:
+    """Counts tokens of a tokenizers file: a word has those that begin in it."""
+    loaded: dict[str, object] = {}
+
+    def count(text: str, words: list[tuple[int, int]]) -> np.ndarray:
+        if path not in loaded:
+            from tokenizers import Tokenizer
+
+            loaded[path] = Tokenizer.from_file(path)
+        begins = np.array([a for a, b in loaded[path].encode(text, add_special_tokens=False).offsets if b > a], np.int64)
+        ends = np.array([b for _, b in words], np.int64)
+        return np.concatenate(([0], np.searchsorted(np.sort(begins), ends, "left")))
+
+    return count
+
+
+def _merged(ranges: list[Range], fits: Callable[[Range, Range], bool]) -> list[Range]:
+    """Neighbouring ranges joined from the left wherever ``fits`` allows it; the first title stays."""
+    out: list[Range] = []
+    for r in ranges:
+        if out and fits(out[-1], r):
+            out[-1] = out[-1]._replace(hi=r.hi, title=out[-1].title or r.title)
+        else:
+            out.append(r)
     return out
 
 
-class _Splitter:
-    """Spans of one document; token positions are word starts."""
-
-    def __init__(self, text: str, limits: ChunkLimits):
-        self.text, self.limits = text, limits
-        self.words = [m.span() for m in re.finditer(r"\S+", text)]
-        self.starts = [a for a, _ in self.words]
-
-    def tokens(self, a: int, b: int) -> int:
-        return bisect_left(self.starts, b) - bisect_left(self.starts, a)
-
-    def trimmed(self, a: int, b: int) -> list[tuple[int, int]]:
-        piece = self.text[a:b]
-        a += len(piece) - len(piece.lstrip())
-        stop = a + len(self.text[a:b].rstrip())
-        return [(a, stop)] if stop > a else []
-
-    def sections(self):
-        marks = headings(self.text)
-        edges = [0, *(m[0] for m in marks), len(self.text)]
-        for i, title in enumerate([None, *(m[2] for m in marks)]):
-            for a, b in self.trimmed(edges[i], edges[i + 1]):
-                yield a, b, title
-
-    def paragraphs(self, a: int, b: int) -> list[tuple[int, int]]:
-        cuts = [(a + m.start(), a + m.end()) for m in BLANK_LINE.finditer(self.text[a:b])]
-        starts, stops = [a, *(e for _, e in cuts)], [*(s for s, _ in cuts), b]
-        found = [span for s, e in zip(starts, stops, strict=True) for span in self.trimmed(s, e)]
-        return found or [(a, b)]
-
-    def windows(self, a: int, b: int):
-        """Overlapping runs of at most max_tokens words."""
-        part = self.text[a:b]
-        words = [(a + m.start(), a + m.end()) for m in re.finditer(r"\S+", part)]
-        size, step = self.limits.max_tokens, max(1, self.limits.max_tokens - self.limits.shared)
-        for k in range(0, len(words), step):
-            yield words[k][0], words[min(k + size, len(words)) - 1][1]
-            if k + size >= len(words):
-                break
-
-    def pieces(self) -> list[tuple[int, int, str | None]]:
-        most, least = self.limits.max_tokens, self.limits.min_tokens
-        split: list[tuple[int, int, str | None]] = []
-        for a, b, title in self.sections():
-            if self.tokens(a, b) <= most:
-                split.append((a, b, title))
-                continue
-            own: list[tuple[int, int]] = []
-            for p, q in self.paragraphs(a, b):
-                if self.tokens(p, q) > most:
-                    own.extend(self.windows(p, q))
-                elif own and own[-1][1] <= p and self.tokens(own[-1][0], q) <= most:
-                    own[-1] = (own[-1][0], q)
-                else:
-                    own.append((p, q))
-            split += [(s, e, title) for s, e in own]
-        joined: list[tuple[int, int, str | None]] = []
-        for a, b, title in split:
-            if joined and least:
-                s, e, first = joined[-1]
-                if self.tokens(s, e) < least and a >= e and self.tokens(s, b) <= most:
-                    joined[-1] = (s, b, first or title)
-                    continue
-            joined.append((a, b, title))
-        return joined
-
-
-def chunk_text(text: str, limits: ChunkLimits = ChunkLimits()) -> list[tuple[int, int, str | None, int]]:
+def word_ranges(text: str, words: list[tuple[int, int]], upto: np.ndarray, limits: ChunkLimits) -> list[Range]:
+    """The chunks of a text as ranges of its words; ``upto`` counts the tokens before each word."""
+    size = lambda lo, hi: int(upto[hi] - upto[lo])
+    starts = [a for a, _ in words]
+    marks = headings(text)
+    edges = [0, *(bisect_left(starts, at) for at, _, _ in marks), len(words)]
+    sections = [Range(lo, hi, title) for lo, hi, title in zip(edges, edges[1:], [None, *(m[2] for m in marks)], strict=False) if hi > lo]
+    most, least = limits.max_tokens, limits.min_tokens
+
+    def windows(r: Range) -> Iterator[Range]:
+        """Overlapping runs of words with at most ``most`` tokens; a longer word is a run of its own."""
+        lo = r.lo
+        while True:
+            hi = min(r.hi, max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1))
+            yield Range(lo, hi, r.title, True)
+            if hi == r.hi:
+                return
+            lo = max(lo + 1, min(hi, int(np.searchsorted(upto, upto[hi] - limits.shared, "left"))))
+
+    def parts(section: Range) -> list[Range]:
+        """A section too long for a chunk: its paragraphs, joined as far as they fit, and cut where one does not."""
+        if size(section.lo, section.hi) <= most:
+            return [section]
+        breaks = [k for k in range(section.lo + 1, section.hi) if starts[k] - words[k - 1][1] > 1 and BLANK_LINE.search(text, words[k - 1][1], starts[k])]
+        edges = [section.lo, *breaks, section.hi]
+        paragraphs = [Range(lo, hi, section.title) for lo, hi in zip(edges, edges[1:], strict=False)]
+        ranges = [w for p in paragraphs for w in (windows(p) if size(p.lo, p.hi) > most else (p,))]
+        return _merged(ranges, lambda a, b: not b.cut and a.hi <= b.lo and size(a.lo, b.hi) <= most)
+
+    found = [p for s in sections for p in parts(s)]
+    return _merged(found, lambda a, b: least > 0 and size(a.lo, a.hi) < least and a.hi <= b.lo and size(a.lo, b.hi) <= most)
+
+
+def chunk_text(text: str, limits: ChunkLimits = ChunkLimits(), count: Count = word_count) -> list[tuple[int, int, str | None, int]]:
     """(start, stop, heading, token count) of the chunks of one text."""
-    s = _Splitter(text, limits)
-    return [(a, b, h, s.tokens(a, b)) for a, b, h in s.pieces()]
+    words = [m.span() for m in _WORD.finditer(text)]
+    upto = count(text, words)
+    return [(words[r.lo][0], words[r.hi - 1][1], r.title, int(upto[r.hi] - upto[r.lo])) for r in word_ranges(text, words, upto, limits)]
 
 
-def chunk_documents(docs: DataFrame, limits: ChunkLimits = ChunkLimits()) -> DataFrame:
+def chunk_documents(docs: DataFrame, limits: ChunkLimits = ChunkLimits(), count: Count = word_count) -> DataFrame:
     """Chunks of ``document_id, text``; null texts have none."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, text in zip(b.document_id, b.text, strict=True):
-                for n, (s, e, h, t) in enumerate(chunk_text(text or "", limits)):
+                for n, (s, e, h, t) in enumerate(chunk_text(text or "", limits, count)):
                     rows.append((f"{doc}::{n:04d}", doc, text[s:e], s, e, n, h, t))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK.split(", ")])
 
@@ -189,24 +192,28 @@ def split_long_text(docs: DataFrame, limits: ChunkLimits = ChunkLimits()) -> Dat
     """
     size, step = limits.max_tokens, limits.max_tokens - limits.shared
     lead = F.length(F.regexp_extract("text", f"(?U)^{tx.SPACE}*", 0))
-    words = docs.select("document_id", "text", lead.alias("lead"), tx.words_with_space("text").alias("words")).where(F.size("words") > 0)
-    extra = F.greatest(F.lit(0), F.ceil((F.size("words") - size) / F.lit(step)).cast("int"))
-    each = words.select("*", F.explode(F.sequence(F.lit(0), extra)).alias("k"))
+    words = docs.select("document_id", lead.alias("lead"), tx.words_with_space("text").alias("words")).where(F.size("words") > 0)
+    # sums of whole steps first, so that a piece's offset needs only those before it
+    step_of = lambda k: F.slice("words", k * step + 1, F.lit(step))
     total = lambda part: F.aggregate(part, F.lit(0), lambda n, w: n + F.length(w))
-    at = F.col("k") * step
-    piece = F.slice("words", at + 1, F.lit(size))
-    start = F.col("lead") + F.when(at == 0, 0).otherwise(total(F.slice("words", F.lit(1), at)))
-    rows = each.select("document_id", "text", "k", start.alias("char_start"), total(piece).alias("span"), F.size(piece).alias("token_count"))
-    body = tx.strip(F.substring(F.col("text"), F.col("char_start") + 1, F.col("span")))
+    extra = F.greatest(F.lit(0), F.ceil((F.size("words") - size) / F.lit(step)).cast("int"))
+    sums = words.withColumn("sums", F.transform(F.sequence(F.lit(0), extra), lambda k: total(step_of(k))))
+    piece = F.transform("sums", lambda n, k: F.struct(
+        k.alias("k"),
+        (F.col("lead") + F.aggregate(F.slice("sums", F.lit(1), k), F.lit(0), lambda a, x: a + x)).alias("char_start"),
+        tx.strip(F.array_join(F.slice("words", k * step + 1, F.lit(size)), "")).alias("text"),
+        F.least(F.lit(size), F.size("words") - k * step).alias("token_count"),
+    ))
+    rows = sums.select("document_id", F.explode(piece).alias("p"))
     return rows.select(
-        F.concat_ws("::", "document_id", F.lpad(F.col("k").cast("string"), 4, "0")).alias("chunk_id"),
+        F.concat_ws("::", "document_id", F.lpad(F.col("p.k").cast("string"), 4, "0")).alias("chunk_id"),
         "document_id",
-        body.alias("text"),
-        "char_start",
-        (F.col("char_start") + F.length(body)).alias("char_end"),
-        F.col("k").alias("ordinal"),
+        "p.text",
+        "p.char_start",
+        (F.col("p.char_start") + F.length("p.text")).alias("char_end"),
+        F.col("p.k").alias("ordinal"),
         F.lit(None).cast("string").alias("heading"),
-        "token_count",
+        "p.token_count",
     )
 
 

@@ -70,7 +70,7 @@ BINDINGS: dict[str, str] = {
         SELECT document_id, doc_id, clause_type, seq, 1, q, cast(s AS int), cast(s + length(q) AS int) FROM {evidence_base} WHERE k = 0 AND doc_id % 6 = 0""",
     "queries": """
         SELECT b.item_id AS query_id, b.text AS query, e.embedding AS vector
-        FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id * 3 WHERE b.item_id < 10""",
+        FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id * 3 % 500""",
     "vectors": "SELECT cast(vec_id AS string) AS chunk_id, embedding FROM {embeddings}",
     "gold": """
         SELECT d.document_id, d.doc_id, d.lang, d.source, l.quality = 1 AS actual, d.n_chars % 4 <> 0 AS predicted,
