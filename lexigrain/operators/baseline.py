@@ -48,21 +48,28 @@ def _total(parts: Column) -> Column:
 class _Matches:
     """All matches of a pattern in ``text``: what they say, and where the i-th stands in code points.
 
-    The text is the gaps between the matches and the matches in turn, so a place is a sum of lengths.
+    The text is the gaps between the matches and the matches in turn, so a place
+    is a sum of lengths.  Texts without a match are not cut.
     """
 
     def __init__(self, text: Column, pattern: str, group: int = 0):
+        self.text, self.pattern = text, pattern
         self.whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         self.said = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else self.whole
-        self.gaps = F.split(text, pattern)
 
-    def end(self, i: Column) -> Column:
-        return _total(F.slice(self.gaps, F.lit(1), i + 1)) + _total(F.slice(self.whole, F.lit(1), i + 1))
+    def at(self, i: Column) -> Column:
+        """(said, length, end) of the i-th match."""
+        gaps = F.split(self.text, self.pattern)
+        end = _total(F.slice(gaps, F.lit(1), i + 1)) + _total(F.slice(self.whole, F.lit(1), i + 1))
+        return F.when(i.isNotNull(), F.struct(F.get(self.said, i).alias("said"), F.length(F.get(self.whole, i)).alias("length"), end.alias("end")))
+
+    def first(self) -> Column:
+        return self.at(F.when(F.size(self.whole) > 0, 0))
 
     def first_where(self, keep) -> Column:
-        """Index of the first match whose group ``keep`` accepts, or null."""
+        """The first match whose group ``keep`` accepts, or null."""
         kept = F.transform(self.said, lambda x, i: F.when(keep(x), i))
-        return F.get(F.filter(kept, lambda i: i.isNotNull()), F.lit(0))
+        return self.at(F.get(F.filter(kept, lambda i: i.isNotNull()), F.lit(0)))
 
 
 def _clause(kind: str, value: Column, end: Column, length: Column) -> Column:
@@ -71,41 +78,39 @@ def _clause(kind: str, value: Column, end: Column, length: Column) -> Column:
     return F.when(value.isNotNull(), found)
 
 
-def governing_law(text: Column) -> Column:
-    """The first phrase that names a known jurisdiction; the clause is the whole phrase."""
-    known, m = _lookup(alias_index()), _Matches(text, LAW, 1)
-    named = lambda x: F.try_element_at(known, F.lower(_one_space(x)))
-    i = m.first_where(lambda x: named(x).isNotNull())
-    return _clause("governing_law", named(F.get(m.said, i)), m.end(i), F.length(F.get(m.whole, i)))
-
-
-def first_date(text: Column) -> Column:
-    """The first 'n-th day of month, year', else the first 'month day, year'; no calendar check."""
-    first, day = F.lit(0), F.regexp_like(text, F.lit(DAY_OF_MONTH))
-    places = [_Matches(text, p) for p in (DAY_OF_MONTH, MONTH_FIRST)]
-    end, length = (F.when(day, a).otherwise(b) for a, b in zip(*[(m.end(first), F.length(F.get(m.whole, first))) for m in places], strict=True))
-    return _clause("effective_date", iso_date(text), end, length)
-
-
-def parties(text: Column) -> Column:
-    """The first recital of the opening that names at least two companies."""
-    m = _Matches(F.substring(text, 1, RECITAL_WINDOW), RECITAL, 1)
-    i = m.first_where(lambda x: F.size(F.regexp_extract_all(x, F.lit(COMPANY), F.lit(0))) > 1)
-    body = F.get(m.said, i)  # a match ends with its body
-    return _clause("parties", F.substring(_one_space(body), 1, PARTY_LENGTH), m.end(i), F.length(body))
-
-
-def perpetual_term(text: Column) -> Column:
-    m = _Matches(text, PERPETUAL)
-    phrase = F.get(m.whole, F.lit(0))
-    return _clause("expiration_date", F.when(phrase.isNotNull(), dims.PERPETUAL), m.end(F.lit(0)), F.length(phrase))
+def _named(x: Column) -> Column:
+    return F.try_element_at(_lookup(alias_index()), F.lower(_one_space(x)))
 
 
 def find_clauses(docs: DataFrame) -> DataFrame:
-    """(document_id, FOUND): what the patterns find in each document, in built-in functions."""
-    text = F.coalesce("text", F.lit(""))
-    found = F.array_compact(F.array(governing_law(text), first_date(text), parties(text), perpetual_term(text)))
-    return docs.select("document_id", F.explode(found).alias("c")).select("document_id", "c.*")
+    """(document_id, FOUND): what the patterns find in each document, in built-in functions.
+
+    The governing law is the first phrase that names a known jurisdiction, the
+    date the first 'n-th day of month, year' or else the first 'month day, year'
+    (no calendar check), the parties the first recital of the opening that names
+    at least two companies, and a perpetual term its first phrase.  Each match is
+    a column of its own, so that no pattern runs once for each use.
+    """
+    opening = F.substring("text", 1, RECITAL_WINDOW)
+    companies = lambda x: F.size(F.regexp_extract_all(x, F.lit(COMPANY), F.lit(0)))
+    text = F.col("text")
+    rows = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(
+        "document_id",
+        _Matches(text, LAW, 1).first_where(lambda x: _named(x).isNotNull()).alias("law"),
+        F.coalesce(_Matches(text, DAY_OF_MONTH).first(), _Matches(text, MONTH_FIRST).first()).alias("day"),
+        _Matches(opening, RECITAL, 1).first_where(lambda x: companies(x) > 1).alias("recital"),
+        _Matches(text, PERPETUAL).first().alias("perpetual"),
+    )
+    c = F.col
+    body = F.length("recital.said")  # a recital ends with the part that names the parties
+    found = F.array(
+        _clause("governing_law", _named(c("law.said")), c("law.end"), c("law.length")),
+        _clause("effective_date", iso_date(c("day.said")), c("day.end"), c("day.length")),
+        _clause("parties", F.substring(_one_space(c("recital.said")), 1, PARTY_LENGTH), c("recital.end"), body),
+        _clause("expiration_date", F.when(c("perpetual").isNotNull(), dims.PERPETUAL), c("perpetual.end"), c("perpetual.length")),
+    )
+    return rows.select("document_id", F.explode(F.array_compact(found)).alias("c")).select("document_id", "c.*")
 
 
 def run_baseline(docs: DataFrame, types: DataFrame) -> DataFrame:

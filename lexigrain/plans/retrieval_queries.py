@@ -81,6 +81,33 @@ def _(t: Inputs):
     return r.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
+# the same arms in English: stems and stop-words; tests/ compare them with DuckDB, which gets the stems as a table
+
+
+@query("R3_english_search")
+def _(t: Inputs):
+    return rt.lexical_scan(t.docs, t.queries, id_col="document_id", english=True)
+
+
+@query("R5_english_filter")
+def _(t: Inputs):
+    kept = rt.restrict(t.docs, t.docs.where("doc_id % 5 = 0"))
+    return rt.lexical_scan(kept, t.queries, id_col="document_id", english=True)
+
+
+@query("R7_english_hybrid")
+def _(t: Inputs):
+    return _flat(rt.hybrid_search(None, t.vectors, t.queries, chunks=_chunks(t), english=True))
+
+
+@query("R8_english_rerank")
+def _(t: Inputs):
+    fused = rt.hybrid_search(None, t.vectors, t.queries, limit=50, chunks=_chunks(t), english=True)
+    shared = lambda: lambda pairs: [float(len(set(q.split()) & set(p.split()))) for q, p in pairs]
+    scored = rt.rerank(rt.model_rerank(fused, t.queries, _chunks(t), shared), 10)
+    return scored.select("query_id", "chunk_id", "rerank_score", F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
 @query("R6_reciprocal_rank_fusion", """
     WITH r AS (SELECT user_id AS query_id, event_type AS retriever, cast(event_id % 13 AS string) AS chunk_id,
                       row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS pos FROM {events} WHERE event_type IN ('click', 'view', 'error', 'purchase')),

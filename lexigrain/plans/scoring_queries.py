@@ -12,7 +12,7 @@ from lexigrain.operators import retrieval as rt
 from lexigrain.operators import sampling as sa
 from lexigrain.operators import scoring as sc
 from lexigrain.plans.registry import Inputs, query
-from lexigrain.plans.retrieval_queries import DENSE, LEXICAL
+from lexigrain.plans.retrieval_queries import FUSED
 from lexigrain.plans.text_queries import SPAN_STATUS
 
 COUNTS = """count(*) FILTER (WHERE predicted AND actual) AS tp, count(*) FILTER (WHERE predicted AND NOT actual) AS fp,
@@ -192,10 +192,12 @@ def _(t: Inputs):
     return sc.gate(score(t.gold), score(t.gold.where("doc_id % 2 = 0")))
 
 
-RANKED = f"""{LEXICAL}, {DENSE},
+RANKED = f"""{FUSED},
+    rr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY length(chunk_id) * 7 + cast(chunk_id AS bigint) % 5 DESC, fused_rank) AS pos FROM fused WHERE fused_rank <= 50),
     ranked AS (SELECT arm, query_id, pos, cast(cast(chunk_id AS bigint) % 7 = query_id % 7 AS int) AS rel FROM
-               (SELECT 'lexical' AS arm, query_id, chunk_id, pos FROM lexr WHERE pos <= 50 UNION ALL SELECT 'dense', query_id, chunk_id, pos FROM cosr WHERE pos <= 50)),
-    base AS (SELECT a.arm, q.query_id FROM {{queries}} q CROSS JOIN (SELECT 'lexical' AS arm UNION ALL SELECT 'dense') a),
+               (SELECT 'lexical' AS arm, query_id, chunk_id, pos FROM lexr WHERE pos <= 50 UNION ALL SELECT 'dense', query_id, chunk_id, pos FROM cosr WHERE pos <= 50
+                UNION ALL SELECT 'hybrid', query_id, chunk_id, fused_rank FROM fused WHERE fused_rank <= 50 UNION ALL SELECT 'hybrid_rerank', query_id, chunk_id, pos FROM rr)),
+    base AS (SELECT a.arm, q.query_id FROM {{queries}} q CROSS JOIN (SELECT unnest(['lexical', 'dense', 'hybrid', 'hybrid_rerank']) AS arm) a),
     agg AS (SELECT arm, query_id, sum(rel) AS n_rel, min(CASE WHEN rel = 1 THEN pos END) AS first, {', '.join(f'sum(CASE WHEN pos <= {k} THEN rel ELSE 0 END / log2(pos + 1)) AS dcg_{k}' for k in sc.K_VALUES)} FROM ranked GROUP BY 1, 2),
     scores AS (SELECT b.*, cast(coalesce(n_rel, 0) = 0 AS bigint) AS missed, coalesce(1.0::double / first, 0) AS rr,
         {', '.join(f'coalesce((first <= {k})::int::double, 0) AS recall_{k}, CASE WHEN coalesce(n_rel, 0) = 0 THEN 0 ELSE dcg_{k} / list_sum(list_transform(range(1, least(n_rel, {k})::bigint + 1), lambda i: 1 / log2(i + 1))) END AS ndcg_{k}' for k in sc.K_VALUES)}
@@ -203,10 +205,15 @@ RANKED = f"""{LEXICAL}, {DENSE},
 
 
 def _query_scores(t: Inputs):
-    both = rt.lexical_scan(t.docs, t.queries, id_col="document_id").select(F.lit("lexical").alias("arm"), "query_id", "chunk_id", "pos").unionByName(
-        rt.dense_search(t.vectors, t.queries).select(F.lit("dense").alias("arm"), "query_id", "chunk_id", "pos"))
-    ranked = both.withColumn("rel", (F.col("chunk_id").cast("long") % 7 == F.col("query_id") % 7).cast("int"))
-    arms = t.spark.createDataFrame([("lexical",), ("dense",)], "arm string")
+    """Four arms: each list of its own, their fusion, and the fusion reranked."""
+    lexical = rt.lexical_scan(t.docs, t.queries, id_col="document_id").select(F.lit("lexical").alias("retriever"), "query_id", "chunk_id", "pos")
+    lists = lexical.unionByName(rt.dense_search(t.vectors, t.queries).select(F.lit("dense").alias("retriever"), "query_id", "chunk_id", "pos"))
+    fused = rt.fuse(lists, limit=50)
+    scored = fused.withColumn("rerank_score", (F.length("chunk_id") * 7 + F.col("chunk_id").cast("long") % 5).cast("double"))
+    arm = lambda df, name, pos: df.select(F.lit(name).alias("arm"), "query_id", "chunk_id", F.col(pos).alias("pos"))
+    ranked = lists.withColumnRenamed("retriever", "arm").unionByName(arm(fused, "hybrid", "fused_rank")).unionByName(arm(rt.rerank(scored), "hybrid_rerank", "rerank_rank"))
+    ranked = ranked.withColumn("rel", (F.col("chunk_id").cast("long") % 7 == F.col("query_id") % 7).cast("int"))
+    arms = t.spark.createDataFrame([("lexical",), ("dense",), ("hybrid",), ("hybrid_rerank",)], "arm string")
     return sc.query_scores(ranked, t.queries.select("query_id").join(F.broadcast(arms)))
 
 
