@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import stats as st
 from lexigrain.functions import text as tx
+from lexigrain.operators.sampling import ranks_below
 
 MIN_POSITIVES = 40
 WINDOWS = (8192, 32768, 128000, 200000)
@@ -31,17 +32,16 @@ def length_stats(sizes: DataFrame, column: str = "tokens", windows: tuple[int, .
     """One row: n, min, median, percentiles by half-even rank, max, rows over each window."""
     over = [F.count_if(F.col(column) > w).alias(f"over_{w}") for w in windows]
     hist = sizes.agg(F.count(column).alias("n"), F.median(column).cast("long").alias("median"), F.min(column).alias("least"), F.max(column).alias("most"), *over)
-    counts = sizes.groupBy(column).count()
-    values = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("v"), F.col("count").alias("c")))).alias("h"))
+    counts = ranks_below(sizes.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")), column, "c")
     n = F.col("n")
 
     def at(q: float) -> Column:
+        """The value whose rows hold the rank of a percentile."""
         rank = F.greatest(F.lit(1), F.least(n, F.bround(F.lit(q / 100.0) * n, 0).cast("long")))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(sizes.schema[column].dataType).alias("v"))
-        step = lambda a, x: F.when(a["n"] >= rank, a).otherwise(F.struct((a["n"] + x["c"]).alias("n"), x["v"].alias("v")))
-        return F.aggregate("h", zero, step, lambda a: a["v"])
+        return F.max(F.when((F.col("below") < rank) & (rank <= F.col("below") + F.col("c")), F.col(column))).alias(f"p{q:g}")
 
-    return hist.join(F.broadcast(values)).select("n", "median", "least", "most", at(90).alias("p90"), at(95).alias("p95"), at(99).alias("p99"), *[f"over_{w}" for w in windows])
+    found = counts.join(F.broadcast(hist.select("n"))).agg(at(90), at(95), at(99))
+    return hist.join(F.broadcast(found)).select("n", "median", "least", "most", "p90", "p95", "p99", *[f"over_{w}" for w in windows])
 
 
 def check_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def locate_loosely(text: str, quote: str) -> tuple[int, int, int, bool] | None:
 _LOOSE = "start int, stop int, n int, elided boolean"
 
 
-def _loose(texts: str, quotes: str) -> Column:
+def _loose(texts: Column, quotes: Column) -> Column:
     @F.pandas_udf(_LOOSE)
     def locate(t: pd.Series, q: pd.Series) -> pd.DataFrame:
         rows = [(None if x is None or y is None else locate_loosely(x, y)) or (None,) * 4 for x, y in zip(t, q, strict=True)]
@@ -66,10 +66,11 @@ def check_evidence(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     beyond = F.when((e > F.length(t)) | (s >= F.length(t)), "out_of_bounds").otherwise("not_found")
     staged = joined.select("document_id", *[k.alias(c) for k, c in zip(keep, evidence.columns, strict=True) if c != "document_id"],
                            "_text", cheap.alias("_cheap"))
-    easy = staged.where("_cheap is not null").select("*", *[F.lit(None).cast(k).alias(f"_{n}") for n, k in (x.split() for x in _LOOSE.split(", "))])
-    hard = staged.where("_cheap is null").withColumn("_l", _loose("_text", "quote"))
-    hard = hard.select(*staged.columns, *[F.col(f"_l.{x.split()[0]}").alias(f"_{x.split()[0]}") for x in _LOOSE.split(", ")])
-    both = easy.unionByName(hard)
+    # one plan for all rows: where built-in functions have decided, the Python function gets nulls
+    undecided = F.col("_cheap").isNull()
+    loose = _loose(F.when(undecided, F.col("_text")), F.when(undecided, q))
+    fields = [x.split()[0] for x in _LOOSE.split(", ")]
+    both = staged.withColumn("_l", loose).select(*[F.col(f"`{c}`") for c in staged.columns], *[F.col(f"_l.{n}").alias(f"_{n}") for n in fields])
     at, n = tx.find("_text", "quote"), tx.count_occurrences("_text", "quote")
     status = F.coalesce("_cheap", F.when(F.col("_start").isNull(), beyond).when(F.col("_elided"), "artifact_elided").otherwise("relocated"))
     native = F.col("_cheap").isin("exact", "normalized")

@@ -140,15 +140,30 @@ def replay(entries: DataFrame) -> DataFrame:
 # review queue
 
 
-def enqueue(queue: DataFrame, items: DataFrame, order: list[str]) -> DataFrame:
-    """``queue`` with ``items`` behind it, numbered from the largest id on.
+def enqueue(queue: DataFrame, items: DataFrame, order: list[str], ranges: int = 256) -> DataFrame:
+    """``queue`` with ``items`` behind it, numbered from the largest id on in ``order``.
 
-    Items of one call are few compared to the queue; they are numbered in one window.
+    Items are dealt to ranges of the first ``order`` column, cut at quantiles;
+    a range is numbered by itself behind the count of the ranges before it.
     """
     base = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
-    new = items.withColumn("_n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(base))
-    new = new.withColumn("id", (F.col("base") + F.col("_n")).cast("long")).withColumn("status", F.lit("open")).drop("_n", "base")
-    return queue.unionByName(new, allowMissingColumns=True)
+    number = {"timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp")), "date": F.unix_date}
+    kind = dict(items.dtypes)[order[0]]
+    if kind not in number and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        at = F.lit(0)  # no quantiles of texts: one range
+    else:
+        key = number.get(kind, lambda c: c)(F.col(order[0]))
+        cuts = items.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+        edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+        at = F.when(key.isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e < key)))
+    dealt = items.withColumn("_range", at)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_c"))  # one row a range
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    new = dealt.withColumn("_n", own).join(F.broadcast(sizes), "_range").join(F.broadcast(base))
+    new = new.withColumn("id", (F.col("base") + F.col("_before") + F.col("_n")).cast("long")).withColumn("status", F.lit("open"))
+    return queue.unionByName(new.drop("_n", "_before", "_range", "base"), allowMissingColumns=True)
 
 
 def queue_items(queue: DataFrame, status: str | None = "open", limit: int = 50) -> DataFrame:

@@ -45,18 +45,30 @@ def per_clause(clauses: DataFrame, evidence: DataFrame, docs: DataFrame, types:
     cited = evidence.groupBy(*keys).agg(
         F.count("*").alias("n_evidence"), F.countDistinct("char_start", "char_end").alias("n_spans")
     )
-    verbatim = F.contains(tx.normalize_whitespace("_text"), tx.normalize_whitespace("raw_text"))
+    last = last_clauses(clauses)
     return (
-        last_clauses(clauses)
-        .join(cited, keys, "left")
-        .join(docs.select("document_id", F.col("text").alias("_text")), "document_id", "left")
+        last.join(cited, keys, "left")
+        .join(verbatim(last, docs), ["document_id", "clause_type"], "left")
         .join(F.broadcast(types), "clause_type")
-        .withColumn("verbatim", F.when(F.coalesce("raw_text", F.lit("")) != "", verbatim))
-        .drop("_text")
         .fillna(0, ["n_evidence", "n_spans"])
     )
 
 
+def verbatim(last: DataFrame, docs: DataFrame) -> DataFrame:
+    """(document_id, clause_type, verbatim): whether the document holds the raw_text, up to white space.
+
+    A document's raw texts (one a type at most) meet its text in one row, so
+    the text is joined and normalised once; empty raw texts have no row.
+    """
+    raw = last.where(F.coalesce("raw_text", F.lit("")) != "").select("document_id", F.struct("clause_type", "raw_text").alias("r"))
+    raw = raw.groupBy("document_id").agg(F.collect_list("r").alias("raws"))
+    text = docs.select("document_id", tx.normalize_whitespace("text").alias("_text"))
+    found = F.transform("raws", lambda r: F.struct(
+        r["clause_type"].alias("clause_type"), F.contains(F.col("_text"), tx.normalize_whitespace(r["raw_text"])).alias("verbatim")))
+    rows = raw.join(text, "document_id", "left").select("document_id", F.explode(found).alias("v"))
+    return rows.select("document_id", "v.clause_type", "v.verbatim")
+
+
 def per_document(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per document: which types are present, and what whole results show."""
     has = [F.coalesce(F.bool_or(F.when(F.col("clause_type") == c, F.col("present"))), F.lit(False)).alias(f"has_{c}") for c, *_ in dims.CLAUSE_TYPES]

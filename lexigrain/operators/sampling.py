@@ -19,18 +19,34 @@ def draw_key(seed: int, ident: Column | str) -> Column:
 def length_quartiles(docs: DataFrame, id_col: str = "document_id", size_col: str = "size") -> DataFrame:
     """Adds length_quartile: min(4, 4 rank / n + 1) in order of (size, id).
 
-    The rank is made of counts per size and a rank within one size, so no
-    window spans the whole table.
+    The rank is made of counts per size and, in the sizes where a quartile ends,
+    a rank within the size, so no window spans the whole table.
     """
     by_size = docs.groupBy(size_col).agg(F.count("*").alias("n"))
-    order = Window.orderBy(size_col).rowsBetween(Window.unboundedPreceding, -1)
-    # distinct sizes only: a few hundred thousand rows at most, whatever the corpus
-    below = by_size.select(size_col, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("below"))
+    below = ranks_below(by_size, size_col, "n")
     total = docs.agg(F.count("*").alias("total"))
-    ranked = docs.withColumn("_r", F.row_number().over(Window.partitionBy(size_col).orderBy(id_col)) - 1)
-    joined = ranked.join(below, size_col).join(F.broadcast(total))
-    quartile = F.least(F.lit(QUARTILES), F.floor((F.col("below") + F.col("_r")) * QUARTILES / F.col("total")).cast("int") + 1)
-    return joined.withColumn("length_quartile", quartile).drop("_r", "below", "total")
+    joined = docs.join(below.select(size_col, "below", "n"), size_col).join(F.broadcast(total))
+    # a size lies in one quartile but where an edge falls among its rows; only those are ranked by id
+    quartile = lambda rank: F.least(F.lit(QUARTILES), F.floor(rank * QUARTILES / F.col("total")).cast("int") + 1)
+    low, high = quartile(F.col("below")), quartile(F.col("below") + F.col("n") - 1)
+    whole = joined.where(low == high).withColumn("length_quartile", low)
+    split = joined.where(low != high).withColumn("_r", F.row_number().over(Window.partitionBy(size_col).orderBy(id_col)) - 1)
+    split = split.withColumn("length_quartile", quartile(F.col("below") + F.col("_r"))).drop("_r")
+    return whole.unionByName(split).drop("below", "n", "total")
+
+
+def ranks_below(counts: DataFrame, value: str, n: str, width: int = 4096) -> DataFrame:
+    """Adds below: how many rows have a smaller ``value``, given counts ``n`` by value.
+
+    Values are summed up in ranges of ``width`` first, so one window holds a
+    row for each range and the others run side by side.
+    """
+    ranged = counts.withColumn("_range", F.floor(F.col(value) / width))
+    ranges = ranged.groupBy("_range").agg(F.sum(n).alias("_n"))
+    before = lambda w: F.coalesce(F.sum(w[1]).over(w[0].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_range", before((Window.orderBy("_range"), "_n")).alias("_before"))
+    inside = before((Window.partitionBy("_range").orderBy(value), n))
+    return ranged.withColumn("_in", inside).join(ranges, "_range").withColumn("below", F.col("_before") + F.col("_in")).drop("_range", "_before", "_in")
 
 
 def allocation(sizes: DataFrame, n: int, stratum: str = "length_quartile") -> DataFrame:
@@ -47,7 +63,9 @@ def stratified_sample(rows: DataFrame, n: int, seed: int, id_col: str = "documen
     """``n`` rows, split over the strata in proportion, in md5 order within each."""
     takes = allocation(rows.groupBy(stratum).count(), n, stratum)
     order = Window.partitionBy(stratum).orderBy(draw_key(seed, id_col), id_col)
-    return rows.withColumn("_n", F.row_number().over(order)).join(F.broadcast(takes), stratum).where("_n <= take").drop("_n", "take")
+    # no stratum gives more than n: with a literal bound each task cuts its rows before they are sent
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return first.join(F.broadcast(takes), stratum).where("_n <= take").drop("_n", "take")
 
 
 def build_split(docs: DataFrame, dev: int = 60, golden: int = 100, seed: int = 42) -> DataFrame:
@@ -88,7 +106,8 @@ def build_cases(candidates: DataFrame, total: int = 150, seed: int = 42) -> Data
         takes += [(t, q, k) for q, k in enumerate(even_shares(n, caps), 1) if k]
     shares = candidates.sparkSession.createDataFrame(takes, "clause_type string, length_quartile int, take int")
     order = Window.partitionBy("clause_type", "length_quartile").orderBy(draw_key(seed, "case_id"), "case_id")
-    ranked = candidates.withColumn("_n", F.row_number().over(order))
+    most = max((k for _, _, k in takes), default=0)  # a literal bound, by which each task cuts its rows
+    ranked = candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     return ranked.join(F.broadcast(shares), ["clause_type", "length_quartile"]).where("_n <= take").drop("_n", "take")
 
 

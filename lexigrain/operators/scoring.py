@@ -60,11 +60,18 @@ def precision_at_recall(scored: DataFrame, keys: list[str], target: float = 0.80
     scored: keys, confidence, actual, ordinal.  The threshold falls row by row
     (ties in input order); the first best point wins; unreachable keys are absent.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    tp = F.sum(F.col("actual").cast("int")).over(order)
-    swept = scored.select(*keys, "confidence", F.count("*").over(order).alias("n"), tp.alias("tp"),
-                          F.sum(F.col("actual").cast("int")).over(Window.partitionBy(*keys)).alias("positives"))
-    reached = swept.where((F.col("positives") > 0) & (F.col("tp") / F.col("positives") >= target))
+    positives = scored.groupBy(*keys).agg(F.sum(F.col("actual").cast("int")).alias("positives"))
+    # counts by confidence tell which confidences can matter; only their rows are ranked one by one
+    by_value = scored.groupBy(*keys, "confidence").agg(F.count("*").alias("rows"), F.sum(F.col("actual").cast("int")).alias("hits"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
+    by_value = by_value.withColumns({"rows_before": F.coalesce(F.sum("rows").over(before), F.lit(0)), "hits_before": F.coalesce(F.sum("hits").over(before), F.lit(0))})
+    by_value = by_value.join(positives.where("positives > 0"), [*keys])
+    can_reach = by_value.where((F.col("hits_before") + F.col("hits")) / F.col("positives") >= target)
+    tied = scored.join(can_reach.drop("rows", "hits"), [*keys, "confidence"])
+    within = Window.partitionBy(*keys, "confidence").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    swept = tied.select(*keys, "confidence", "positives", (F.col("rows_before") + F.count("*").over(within)).alias("n"),
+                        (F.col("hits_before") + F.sum(F.col("actual").cast("int")).over(within)).alias("tp"))
+    reached = swept.where(F.col("tp") / F.col("positives") >= target)
     best = F.max_by(F.struct("n", "confidence"), F.struct(F.col("tp") / F.col("n"), -F.col("n")))
     found = reached.groupBy(*keys).agg(F.max(F.col("tp") / F.col("n")).alias("precision"), best.alias("b"))
     return found.select(*keys, "precision", F.col("b.confidence").alias("threshold"))
@@ -157,7 +164,14 @@ def arm_scores(scores: DataFrame, latencies: DataFrame | None = None) -> DataFra
 
 
 def latency_scores(latencies: DataFrame) -> DataFrame:
-    """Interpolated median, the value at index int(0.95 n), and the total in seconds."""
-    found = latencies.groupBy("arm").agg(
-        F.median("latency_ms").alias("latency_p50"), F.sort_array(F.collect_list("latency_ms")).alias("v"), (F.sum("latency_ms") / 1000).alias("total_s"))
-    return found.select("arm", "latency_p50", st.floor_index(F.col("v"), 0.95).alias("latency_p95"), "total_s")
+    """Interpolated median, the value at index int(0.95 n), and the total in seconds.
+
+    The index is looked up among counts by value, which aggregate per task.
+    """
+    per_arm = latencies.groupBy("arm").agg(F.median("latency_ms").alias("latency_p50"), F.count("latency_ms").alias("n"), (F.sum("latency_ms") / 1000).alias("total_s"))
+    counts = latencies.where("latency_ms is not null").groupBy("arm", "latency_ms").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("arm").orderBy("latency_ms"))
+    rank = F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n"))) + 1
+    reached = counts.withColumn("upto", upto).join(F.broadcast(per_arm.select("arm", "n")), "arm").where(F.col("upto") >= rank)
+    p95 = reached.groupBy("arm").agg(F.min("latency_ms").alias("latency_p95"))
+    return per_arm.join(p95, "arm", "left").select("arm", "latency_p50", "latency_p95", "total_s")
