@@ -71,11 +71,11 @@ def stratified_sample(rows: DataFrame, n: int, seed: int, id_col: str = "documen
 def build_split(docs: DataFrame, dev: int = 60, golden: int = 100, seed: int = 42) -> DataFrame:
     """(document_id, length_quartile, split): dev, golden from the rest, reserve."""
     rows = length_quartiles(docs).select("document_id", "length_quartile")
-    first = stratified_sample(rows, dev, seed).withColumn("split", F.lit("dev"))
-    rest = rows.join(first, "document_id", "left_anti")
-    second = stratified_sample(rest, golden, seed + 1).withColumn("split", F.lit("golden"))
-    reserve = rest.join(second, "document_id", "left_anti").withColumn("split", F.lit("reserve"))
-    return first.unionByName(second).unionByName(reserve).select("document_id", "length_quartile", "split")
+    first = stratified_sample(rows, dev, seed).select("document_id", F.lit("dev").alias("split"))
+    rest = rows.join(F.broadcast(first), "document_id", "left_anti")
+    second = stratified_sample(rest, golden, seed + 1).select("document_id", F.lit("golden").alias("split"))
+    drawn = F.broadcast(first.unionByName(second))  # dev + golden rows
+    return rows.join(drawn, "document_id", "left").fillna("reserve", ["split"]).select("document_id", "length_quartile", "split")
 
 
 def even_shares(n: int, caps: list[int]) -> list[int]:
