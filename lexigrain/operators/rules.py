@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexigrain import dims
 from lexigrain.functions import text as tx
+from lexigrain.operators import grounding
 
 SEVERITIES = ("error", "warning", "info")
 DATES = ("effective_date", "expiration_date")
@@ -209,3 +210,20 @@ def needs_review(docs: DataFrame, violations: DataFrame, clauses: DataFrame, typ
         F.when(F.col("agent_error").isNotNull(), F.concat(F.lit("agent: "), "agent_error")),
     ))
     return joined.select("document_id", (F.size(reasons) > 0).alias("needs_review"), reasons.alias("reasons"))
+
+
+def review(docs: DataFrame, clauses: DataFrame, evidence: DataFrame, types: DataFrame, runs: DataFrame) -> DataFrame:
+    """(document_id, violations, errors, ungrounded, needs_review, reasons): from quoted evidence to the routing.
+
+    Evidence is grounded first, the checks see what was kept at the offsets
+    found, and what was not grounded is a reason for a review.  runs:
+    document_id, stopped_on_budget, agent_error.
+    """
+    checked = grounding.check_evidence(evidence, docs)
+    found = apply_rules(clauses, grounding.repaired(checked), docs, types)
+    report = grounding.report(checked, ["document_id"]).select("document_id", "ungrounded")
+    known = docs.select("document_id").join(runs, "document_id", "left").join(report, "document_id", "left").fillna(0, ["ungrounded"])
+    counts = found.groupBy("document_id").agg(F.count("*").alias("violations"), F.count_if(F.col("severity") == "error").alias("errors"))
+    routed = needs_review(docs, found, clauses, types, known.select("document_id", "stopped_on_budget", "ungrounded", "agent_error"))
+    joined = known.select("document_id", "ungrounded").join(counts, "document_id", "left").join(routed, "document_id")
+    return joined.fillna(0, ["violations", "errors"]).select("document_id", "violations", "errors", "ungrounded", "needs_review", "reasons")

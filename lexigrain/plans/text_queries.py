@@ -163,13 +163,6 @@ def _(t: Inputs):
     return checked.select("document_id", "clause_type", "seq", "ev_ord", "status", F.col("actual_offset").cast("long").alias("actual_offset"))
 
 
-TOKENS_SQL = r"""
-    w AS (SELECT document_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word, unnest(range(len(string_split(replace(text, chr(10), ' '), ' ')))) AS pos
-          FROM {docs} WHERE doc_id % 10 = 0 AND length(text) > 0),
-    tokens AS (SELECT document_id, pos, coalesce(sum(length(word) + 1) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tstart,
-                      length(word) AS n FROM w)"""
-
-
 @query("C5_word_tokens", "WITH w AS (SELECT document_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word, unnest(range(len(string_split(replace(text, chr(10), ' '), ' ')))) AS pos FROM {docs} WHERE length(text) > 0), tokens AS (SELECT document_id, pos, coalesce(sum(length(word) + 1) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tstart, length(word) AS n FROM w) SELECT document_id, count(*) AS tokens, cast(sum(tstart) AS bigint) AS starts, cast(max(tstart + n) AS bigint) AS last_end FROM tokens GROUP BY 1")
 def _(t: Inputs):
     return ck.tokens(t.docs).groupBy("document_id").agg(F.count("*").alias("tokens"), F.sum("tstart").alias("starts"), F.max("tend").cast("long").alias("last_end"))
@@ -181,7 +174,12 @@ def _(t: Inputs):
     return ck.tokens_in_range(ck.tokens(t.docs), ranges)
 
 
-@query("C8_headings")
+_TITLE = "rtrim(split_part(substring('1. TERM. ' || text, 1, 80), chr(10), 1))"  # white space stands alone in the tables' texts
+
+
+@query("C8_headings", f"""
+    SELECT document_id, 0 AS char_start, '1' AS label, {_TITLE} AS heading FROM {{docs}} WHERE text IS NOT NULL
+    UNION ALL SELECT document_id, length(text) + 10, '2.1', '2.1 LAW. end' FROM {{docs}} WHERE text IS NOT NULL""")
 def _(t: Inputs):
     return ck.find_headings(t.docs.select("document_id", F.concat(F.lit("1. TERM. "), "text", F.lit("\n2.1 LAW. end")).alias("text")))
 
@@ -192,7 +190,10 @@ def _(t: Inputs):
     return c.select("chunk_id", "document_id", F.md5("text").alias("digest"), *[F.col(x).cast("long").alias(x) for x in ("char_start", "char_end", "ordinal", "token_count")])
 
 
-@query("C9a_sections")
+@query("C9a_sections", f"""
+    SELECT document_id, 0 AS char_start, 9 AS char_end, NULL AS heading FROM {{docs}} WHERE text IS NOT NULL
+    UNION ALL SELECT document_id, 9, length(text) + 19, {_TITLE} FROM {{docs}} WHERE text IS NOT NULL
+    UNION ALL SELECT document_id, length(text) + 19, length(text) + 31, '2.1 LAW. end' FROM {{docs}} WHERE text IS NOT NULL""")
 def _(t: Inputs):
     marked = t.docs.select("document_id", F.concat(F.lit("Preamble\n1. TERM. "), "text", F.lit("\n2.1 LAW. end")).alias("text"))
     return ck.sections(ck.find_headings(marked), marked)
@@ -257,10 +258,9 @@ def _(t: Inputs):
 @query("C17_with_context", f"""
     WITH {CHUNKS_SQL}
     SELECT chunk_id, md5(substring(d.text, greatest(0, char_start - 400) + 1, least(length(d.text), char_end + 400) - greatest(0, char_start - 400))) AS digest
-    FROM chunks c JOIN {{docs}} d USING (document_id) WHERE ordinal = 1""")
+    FROM chunks c JOIN {{docs}} d USING (document_id)""")
 def _(t: Inputs):
-    hits = ck.split_long_text(t.docs).where("ordinal = 1")
-    return ck.with_context(hits, t.docs).select("chunk_id", F.md5("context").alias("digest"))
+    return ck.with_context(ck.split_long_text(t.docs), t.docs).select("chunk_id", F.md5("context").alias("digest"))
 
 
 @query("C18_slice", "SELECT document_id, substring(text, 11, 20) AS piece FROM {docs}")
