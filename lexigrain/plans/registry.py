@@ -35,5 +35,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _name in ("text_queries", "retrieval_queries", "rule_queries", "scoring_queries", "operation_queries"):
+for _name in ("text_queries", "retrieval_queries", "rule_queries", "scoring_queries", "operation_queries", "source_queries"):
     importlib.import_module(f"lexigrain.plans.{_name}")

@@ -273,9 +273,11 @@ def _(t: Inputs):
     return sa.stratified_sample(rows, 97, 42).select("document_id", "length_quartile")
 
 
-@query("A20_build_split", f"""
-    WITH {_ROWS}, {_sample_sql('a', 'quart', 60, 42)}, rest AS (SELECT * FROM quart WHERE document_id NOT IN (SELECT document_id FROM a)), {_sample_sql('b', 'rest', 100, 43)}
-    SELECT document_id, length_quartile, CASE WHEN document_id IN (SELECT document_id FROM a) THEN 'dev' WHEN document_id IN (SELECT document_id FROM b) THEN 'golden' ELSE 'reserve' END AS split FROM quart""")
+SPLIT_SQL = f"""{_ROWS}, {_sample_sql('a', 'quart', 60, 42)}, rest AS (SELECT * FROM quart WHERE document_id NOT IN (SELECT document_id FROM a)), {_sample_sql('b', 'rest', 100, 43)},
+    split AS (SELECT document_id, length_quartile, CASE WHEN document_id IN (SELECT document_id FROM a) THEN 'dev' WHEN document_id IN (SELECT document_id FROM b) THEN 'golden' ELSE 'reserve' END AS split FROM quart)"""
+
+
+@query("A20_build_split", f"WITH {SPLIT_SQL} SELECT * FROM split")
 def _(t: Inputs):
     return sa.build_split(t.docs.withColumn("size", F.col("n_chars")))
 

@@ -158,10 +158,16 @@ def lookup_cache(requests: DataFrame, entries: DataFrame, mode: str = "read_writ
     return joined.withColumn("hit", hit).drop("_k")
 
 
-def freeze(values: dict, path: str) -> None:
-    """A small baseline as one JSON file on the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, indent=2, sort_keys=True)
+def freeze(spark: SparkSession, values: dict, path: str) -> None:
+    """A small baseline as JSON, one object, written where driver and executors read."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_frozen(spark: SparkSession, path: str, name: str = "metric", value: str = "value") -> DataFrame:
+    """(name, value) of a frozen baseline."""
+    kept = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    kind = "long" if all(isinstance(v, int) for v in kept.values()) else "double"
+    return spark.createDataFrame([(k, v if kind == "long" else float(v)) for k, v in kept.items()], f"{name} string, {value} {kind}")
 
 
 # keyed tables
