@@ -20,21 +20,20 @@ CLAUSE_TYPES: list[tuple[str, int, str, bool]] = [
     ("exclusivity", 3, "Exclusivity", True),
 ]
 
-# Names of the jurisdictions by id.  US states follow the rule US-<postal code>.
-US_STATES = {
-    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut",
-    "DE": "Delaware", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa",
-    "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan",
-    "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire",
-    "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio",
-    "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota",
-    "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington", "WV": "West Virginia",
-    "WI": "Wisconsin", "WY": "Wyoming", "DC": "District of Columbia",
-}
-OTHERS = {
-    "US": "United States", "GB-EAW": "England and Wales", "GB-SCT": "Scotland", "GB-NIR": "Northern Ireland", "GB": "United Kingdom",
-    "IE": "Ireland", "CA-ON": "Ontario", "CA-BC": "British Columbia", "CA-QC": "Quebec", "CA-AB": "Alberta", "CA-NS": "Nova Scotia",
-    "CA": "Canada", "CN": "People's Republic of China", "HK": "Hong Kong", "TW": "Taiwan", "JP": "Japan", "KR": "South Korea", "IN": "India",
+# Jurisdictions by id.
+JURISDICTIONS: dict[str, str] = {
+    "US-AL": "Alabama", "US-AK": "Alaska", "US-AZ": "Arizona", "US-AR": "Arkansas", "US-CA": "California", "US-CO": "Colorado",
+    "US-CT": "Connecticut", "US-DE": "Delaware", "US-FL": "Florida", "US-GA": "Georgia", "US-HI": "Hawaii", "US-ID": "Idaho",
+    "US-IL": "Illinois", "US-IN": "Indiana", "US-IA": "Iowa", "US-KS": "Kansas", "US-KY": "Kentucky", "US-LA": "Louisiana",
+    "US-ME": "Maine", "US-MD": "Maryland", "US-MA": "Massachusetts", "US-MI": "Michigan", "US-MN": "Minnesota", "US-MS": "Mississippi",
+    "US-MO": "Missouri", "US-MT": "Montana", "US-NE": "Nebraska", "US-NV": "Nevada", "US-NH": "New Hampshire", "US-NJ": "New Jersey",
+    "US-NM": "New Mexico", "US-NY": "New York", "US-NC": "North Carolina", "US-ND": "North Dakota", "US-OH": "Ohio", "US-OK": "Oklahoma",
+    "US-OR": "Oregon", "US-PA": "Pennsylvania", "US-RI": "Rhode Island", "US-SC": "South Carolina", "US-SD": "South Dakota",
+    "US-TN": "Tennessee", "US-TX": "Texas", "US-UT": "Utah", "US-VT": "Vermont", "US-VA": "Virginia", "US-WA": "Washington",
+    "US-WV": "West Virginia", "US-WI": "Wisconsin", "US-WY": "Wyoming", "US-DC": "District of Columbia", "US": "United States",
+    "GB-EAW": "England and Wales", "GB-SCT": "Scotland", "GB-NIR": "Northern Ireland", "GB": "United Kingdom", "IE": "Ireland",
+    "CA-ON": "Ontario", "CA-BC": "British Columbia", "CA-QC": "Quebec", "CA-AB": "Alberta", "CA-NS": "Nova Scotia", "CA": "Canada",
+    "CN": "People's Republic of China", "HK": "Hong Kong", "TW": "Taiwan", "JP": "Japan", "KR": "South Korea", "IN": "India",
     "SG": "Singapore", "PG": "Papua New Guinea", "AU-VIC": "Victoria", "AU-NSW": "New South Wales", "AU": "Australia",
     "NZ": "New Zealand", "DE": "Germany", "NL": "Netherlands", "CH": "Switzerland", "FR": "France", "ES": "Spain", "IT": "Italy",
     "SE": "Sweden", "BE": "Belgium", "LU": "Luxembourg", "IL": "Israel", "KZ": "Kazakhstan", "ZA": "South Africa", "CO": "Colombia",
@@ -82,7 +81,7 @@ COST_BUCKETS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
 
 
 def jurisdiction_names() -> dict[str, str]:
-    return {f"US-{k}": v for k, v in US_STATES.items()} | OTHERS
+    return dict(JURISDICTIONS)
 
 
 def known_jurisdictions() -> list[str]:
