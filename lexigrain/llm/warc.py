@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrain.llm.common import join_on_key, materialise
+
 CRLF = "\r\n"
 _B32 = ("0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -66,9 +68,10 @@ def write_archive(
         base32_sha1(F.col("payload")).alias("sha1"),
         F.octet_length("payload").cast("long").alias("bytes"),
     )
-    shared = F.when(F.col("bytes") >= min_revisit_bytes, F.col("digest"))
-    firsts = digests.where(shared.isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    marked = digests.join(firsts, "digest", "left").withColumn(
+    digests = materialise(digests, "warc-digests")
+    firsts = materialise(digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("held")), "warc-firsts")
+    # one payload may be that of very many pages, so its rows are dealt to many parts
+    marked = join_on_key(digests, firsts, "digest", "held", "url").withColumn(
         "first_id", F.when(F.col("bytes") >= min_revisit_bytes, F.col("first_id"))
     )
     revisit = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull())

@@ -638,6 +638,9 @@ def test_warc(spark):
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert rest[size:] == b"\r\n\r\n"
+        payload = rest[:size].partition(b"\r\n\r\n")[2]
+        inputs = {(h or "").encode() for i, _, h in rows if i == r["page_id"]}
+        assert payload in inputs if b"WARC-Type: response" in head else payload == b""
 
 
 def pages_literal():
