@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigrain import dims
 from lexigrain.functions import stats as st
+from lexigrain.functions import text as tx
 
 COUNTERS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 STOP_STATUS = {
@@ -104,6 +106,33 @@ def preflight(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+CANARY = "the of and"
+
+
+def run_preflight(cases: DataFrame, indexed: DataFrame, chunks: DataFrame, members: DataFrame, config: DataFrame, recorded: str, entries: DataFrame, canary: str = CANARY) -> DataFrame:
+    """(ordinal, name, passed, offending): what must hold before an evaluation run.
+
+    cases, indexed, members: document_id; chunks: document_id, text, embedding;
+    config: name, value, which ``recorded`` must contain; entries: latency_ms.
+    Recorded responses without a latency are counted, but fail nothing.
+    """
+    wanted = cases.select("document_id").distinct()
+    own = chunks.join(wanted, "document_id", "left_semi")
+    first = wanted.agg(F.min("document_id").alias("document_id")).where("document_id is not null")
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(re.findall("[a-z0-9]+", canary.lower()))])
+    answers = own.where(F.arrays_overlap(tx.query_terms("text"), asked))
+    found = preflight([
+        ("index covers case set", wanted.join(indexed, "document_id", "left_anti")),
+        ("every document has chunks", wanted.join(chunks, "document_id", "left_anti")),
+        ("chunks are embedded", own.where("embedding is null")),
+        ("retrieval canary", first.join(answers, "document_id", "left_anti")),
+        ("split membership", wanted.join(members, "document_id", "left_anti")),
+        ("frozen config recorded", config.where(~F.contains(F.lit(recorded), F.col("value").cast("string")))),
+        ("latency stored at capture", entries.where("latency_ms is null")),
+    ])
+    return found.withColumn("passed", F.col("passed") | (F.col("name") == "latency stored at capture"))
+
+
 def canonical_json(value) -> str:
     """Sorted keys, no spaces, ASCII."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)

@@ -82,6 +82,26 @@ def _(t: Inputs):
     ])
 
 
+@query("A34_run_preflight", """
+    WITH wanted AS (SELECT * FROM {docs} WHERE doc_id % 5 = 0), indexed AS (SELECT * FROM {docs} WHERE doc_id % 35 <> 0), ch AS (SELECT * FROM indexed WHERE text <> '' AND doc_id % 45 <> 0),
+    n AS (SELECT 0 AS ordinal, 'index covers case set' AS name, count(*) AS offending FROM wanted WHERE doc_id NOT IN (SELECT doc_id FROM indexed)
+    UNION ALL SELECT 1, 'every document has chunks', count(*) FROM wanted WHERE doc_id NOT IN (SELECT doc_id FROM ch)
+    UNION ALL SELECT 2, 'chunks are embedded', count(*) FROM ch WHERE doc_id % 5 = 0 AND doc_id % 55 = 0
+    UNION ALL SELECT 3, 'retrieval canary', count(*) FROM (SELECT min(document_id) AS document_id FROM wanted) WHERE document_id NOT IN
+        (SELECT document_id FROM ch WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'of', 'and']))
+    UNION ALL SELECT 4, 'split membership', count(*) FROM wanted WHERE doc_id % 10 = 5
+    UNION ALL SELECT 5, 'frozen config recorded', 1
+    UNION ALL SELECT 6, 'latency stored at capture', count(*) FROM {events} WHERE event_id % 4 = 0)
+    SELECT *, offending = 0 OR ordinal = 6 AS passed FROM n""")
+def _(t: Inputs):
+    ids = lambda where: t.docs.where(where).select("document_id")
+    chunks = t.docs.where("doc_id % 35 <> 0 and text <> '' and doc_id % 45 <> 0")
+    chunks = chunks.select("document_id", "text", F.when(F.col("doc_id") % 55 != 0, F.array(F.lit(1.0))).alias("embedding"))
+    config = t.spark.createDataFrame([("model", "m-1"), ("prompt", "p-7"), ("max_turns", "12")], "name string, value string")
+    entries = t.events.select(F.when(F.col("event_id") % 4 != 0, F.lit(1.0)).alias("latency_ms"))
+    return op.run_preflight(ids("doc_id % 5 = 0"), ids("doc_id % 35 <> 0"), chunks, ids("doc_id % 10 <> 5"), config, "model m-1, 12 turns", entries)
+
+
 @query("A7b_run_totals", """
     SELECT run_id, count(*) AS turns, sum(cost_usd) AS cost_usd, cast(sum(retries) AS bigint) AS retries, CASE WHEN count(*) = count(model_ms) THEN sum(model_ms) END AS latency_ms FROM {turns} GROUP BY 1""")
 def _(t: Inputs):
