@@ -232,7 +232,7 @@ def test_simhash_empty(empty):
 
 def test_licences(docs, empty, spark):
     mit = " ".join(s[0] + "." for k, s in licenses.SENTENCES.items() if k in ("mit-grant", "mit-condition"))
-    bsd = "\n".join(licenses.SENTENCES[k][0] + ":" for k in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"))
+    bsd = "\n".join(licenses.SENTENCES[k][0].replace("*", "the copyright holder") + ":" for k in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"))
     rows = [(1, "Some text. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (2, mit), (3, bsd), (4, "nothing here"),
             (5, "no stop before it\nLICENSED UNDER  CC BY-NC 4.0"), (6, "This text Released under the MIT License. Released under the MIT License.")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
