@@ -22,17 +22,23 @@ def length_quartiles(docs: DataFrame, id_col: str = "document_id", size_col: str
     The rank is made of counts per size and, in the sizes where a quartile ends,
     a rank within the size, so no window spans the whole table.
     """
-    by_size = docs.groupBy(size_col).agg(F.count("*").alias("n"))
-    below = ranks_below(by_size, size_col, "n")
-    total = docs.agg(F.count("*").alias("total"))
-    joined = docs.join(below.select(size_col, "below", "n"), size_col).join(F.broadcast(total))
-    # a size lies in one quartile but where an edge falls among its rows; only those are ranked by id
-    quartile = lambda rank: F.least(F.lit(QUARTILES), F.floor(rank * QUARTILES / F.col("total")).cast("int") + 1)
-    low, high = quartile(F.col("below")), quartile(F.col("below") + F.col("n") - 1)
-    whole = joined.where(low == high).withColumn("length_quartile", low)
-    split = joined.where(low != high).withColumn("_r", F.row_number().over(Window.partitionBy(size_col).orderBy(id_col)) - 1)
-    split = split.withColumn("length_quartile", quartile(F.col("below") + F.col("_r"))).drop("_r")
-    return whole.unionByName(split).drop("below", "n", "total")
+    below = ranks_below(docs.where(F.col(size_col).isNotNull()).groupBy(size_col).agg(F.count("*").alias("n")), size_col, "n")
+    quartile = lambda rank, n: F.least(F.lit(QUARTILES), F.floor(rank * QUARTILES / n).cast("int") + 1)
+    edges = below.withColumn("total", F.lit(docs.where(F.col(size_col).isNotNull()).count()))
+    edges = edges.withColumns({"low": quartile(F.col("below"), F.col("total")), "high": quartile(F.col("below") + F.col("n") - 1, F.col("total"))})
+    # where each quartile begins, and the sizes in which one ends: seven rows at most
+    begins = edges.groupBy("low").agg(F.min(size_col).alias("size")).collect()
+    split = edges.where("low <> high").collect()
+    size = F.col(size_col)
+    by_size = F.greatest(F.lit(0), *[F.when(size >= r["size"], r["low"]) for r in begins]).cast("int")
+    inside = size.isin([r[size_col] for r in split])
+    whole = docs.where(size.isNotNull() & ~inside).withColumn("length_quartile", by_size)
+    if not split:
+        return whole
+    rank = F.row_number().over(Window.partitionBy(size_col).orderBy(id_col)) - 1
+    first = F.coalesce(*[F.when(size == r[size_col], r["below"]) for r in split])
+    ranked = docs.where(inside).withColumn("length_quartile", quartile(first + rank, F.lit(split[0]["total"])))
+    return whole.unionByName(ranked)
 
 
 def ranks_below(counts: DataFrame, value: str, n: str, width: int = 4096) -> DataFrame:
