@@ -22,8 +22,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
-    # a few files a core: Hadoop's local file system starts a process for each file and folder that a task makes
-    rows = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
+    # fewer files than shuffle partitions: Hadoop's local file system starts a process for each file and folder that a task makes
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.coalesce(max(4 * spark.sparkContext.defaultParallelism, partitions // 8))
     return rows.select(
         "doc_id",
         "n_chars",
