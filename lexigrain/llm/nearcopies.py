@@ -7,12 +7,16 @@ two whole sets of 64-bit shingle hashes reaches the bound.  A pair at 0.8
 shares no band with a chance of 1.3e-7, a closer one with less.
 
 Links serve to find components, so pairs that are connected already need no
-look.  First each class meets the head of each of its bands, the class that
-shares bands with most others (in a group of copies, that nearest to all).
-What is left are bands that hold classes of several components, and there every
-pair of classes of different components meets.  Sizes and one bit of each of
-192 MinHash values are part of that join's condition, so few pairs leave it: at
-0.8 on average 19 bits differ, and more than 48 with a chance below 1e-7.
+look.  Each class first meets the head of each of its bands, the class that
+shares bands with most others (in a group of copies, that nearest to all), then
+in up to ``TURNS`` turns a class drawn from each band that still holds several
+components: as many pairs as classes in bands.  The classes of bands that still
+hold several components are then joined exactly, by prefixes: with all sets in
+one order, rare shingles first, two sets of a similarity of 0.8 share one of the
+first fifth of both, and its places bound what they can share.  A sentence that
+many texts hold is common, so it stands last and brings none together.  Sizes
+and four bits of each of 192 MinHash values are conditions too: at 0.8 on
+average 36 values differ there, and more than 68 with a chance below 1e-7.
 
 Defined results: words are as in ``simhash``; a text of at most ``width`` words
 is one shingle; texts without words are one class and link to nothing else;
@@ -22,17 +26,21 @@ an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.llm.common import _splitmix, connected_components, id_text, join_on_key, materialise
 from lexigrain.llm.simhash import shingle_hashes
 
 BANDS, ROWS = 40, 5
-SKETCH, MOST_BITS = 3, 48
+SKETCH, PLANES, MOST_VALUES = 3, 4, 68
+TURNS = 3
+SLACK = 1e-6
 _FACTOR = (_splitmix(BANDS * ROWS, 51) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFT = (_splitmix(BANDS * ROWS, 52) >> np.uint64(32)).astype(np.uint32)
 _BAND = _splitmix(BANDS, 53)
@@ -62,15 +70,16 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def sketch(low: np.ndarray) -> np.ndarray:
-    """One bit of each of the first 192 values, as three integers."""
-    mixed = low[: 64 * SKETCH].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & np.uint8(1)).view(np.int64)
+    """Four bits of each of the first 192 values: three integers for the first bits, three for the second, and so on."""
+    mixed = (low[: 64 * SKETCH].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    planes = (mixed >> np.arange(PLANES, dtype=np.uint64)[:, None]).astype(np.uint8) & np.uint8(1)
+    return np.packbits(planes, axis=1).view(np.int64).reshape(-1)
 
 
 def _keys_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bands and sketch of a set; an empty one has no bands."""
     if not len(hashes):
-        return np.empty(0, np.int64), np.zeros(SKETCH, np.int64)
+        return np.empty(0, np.int64), np.zeros(SKETCH * PLANES, np.int64)
     low = signature(hashes)
     return band_keys(low).view(np.int64), sketch(low)
 
@@ -128,6 +137,43 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(sized).where(both / (total - both) >= least).select("a", "b")
 
 
+def _alike(least: float):
+    """Whether sizes and sketches of the classes a and b leave room for a similarity of ``least``."""
+    apart = 0
+    for i in range(SKETCH):
+        differ = [F.col("sketch_a")[j].bitwiseXOR(F.col("sketch_b")[j]) for j in range(i, SKETCH * PLANES, SKETCH)]
+        apart += F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), differ))
+    return (F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= least) & (apart <= MOST_VALUES)
+
+
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns})
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, class, root) of the bands that hold classes of several components."""
+    rooted = members.join(roots, F.col("class") == roots.node, "left").select(
+        "band", "class", F.coalesce("root", "class").alias("root")
+    )
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return rooted.join(mixed, "band")
+
+
+def rare_starts(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of ``left`` (class, root, size, sketch) with each shingle (shingle, at) that may be the rarest of a link.
+
+    All sets are put in one order, rare shingles first.  A set that shares
+    ``least`` of its shingles with another shares one of its first 1 - ``least``,
+    and so does the other.  Shingles that classes of one component only hold there are left out.
+    """
+    held = sets.join(left.select("class", "root", "size"), "class").select("class", "root", "size", F.explode("hashes").alias("shingle"))
+    held = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    held = held.withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("n", "shingle")) - 1)
+    held = materialise(held.where(F.col("at") <= F.col("size") * (1 - least) + SLACK).select("class", "root", "shingle", "at"), "copies-order")
+    mixed = held.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    return held.drop("root").join(mixed, "shingle").join(left, "class")
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8
 ) -> DataFrame:
@@ -146,27 +192,42 @@ def near_copies(
     members = materialise(index.join(shared, "band"), "copies-bands")
     met = members.groupBy("class").agg(F.sum("n").alias("met"))
     heads = members.join(met, "class").groupBy("band").agg(F.max(F.struct("met", "class"))["class"].alias("head"))
-    # the texts of classes that share a band are read again, one a class
-    wanted = members.select("class").distinct().join(known.select("class", "text_key"), "class")
+    first = members.join(heads, "band").where("class <> head").select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b"))
+    tried = materialise(first.distinct(), "copies-first")
+    # the texts of classes that are in a pair or share a band are read again, one a class
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
+    wanted = wanted.join(known.select("class", "text_key"), "class")
     texts = _keyed(docs, id_col, text_col).select("text_key", "text").join(wanted, "text_key").dropDuplicates(["class"])
     sets = materialise(shingle_sets(texts, width), "copies-sets")
 
-    first = members.join(heads, "band").where("class <> head")
-    first = materialise(first.select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct(), "copies-heads")
-    links = materialise(verified(first, sets, least), "copies-first")
+    looks = known.select("class", "size", "sketch")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(_side(looks, "a"), F.col("a") == F.col("class_a")).join(_side(looks, "b"), F.col("b") == F.col("class_b"))
+        return materialise(verified(sides.where(_alike(least)).select("a", "b"), sets, least), "copies-linked")
+
+    links = linked(tried)
     roots = connected_components(links, "copies-links")
-    rooted = members.join(roots, F.col("class") == roots.node, "left").select(
-        "band", "class", F.coalesce("root", "class").alias("root")
-    )
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    mixed = materialise(rooted.join(mixed, "band"), "copies-mixed")
-    side = lambda x: mixed.join(known, "class").select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "root", "size", "sketch")])
-    bits = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH))
-    sized = F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= least
-    left, right = side("a"), side("b").withColumnRenamed("band", "band_b")
-    meet = (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("class_a") < F.col("class_b"))
-    rest = left.join(right, meet & sized & (bits <= MOST_BITS)).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    for turn in range(TURNS):
+        mixed = materialise(_mixed(members, roots), "copies-mixed")
+        drawn = F.max(F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "root")).alias("head")
+        met = mixed.join(mixed.groupBy("band").agg(drawn), "band").where("root <> head.root")
+        met = met.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
+        met = materialise(met.join(tried, ["a", "b"], "left_anti"), "copies-turn")
+        tried, more = tried.unionByName(met), linked(met)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = connected_components(links, "copies-links")
+    left = _mixed(members, roots).select("class", "root").distinct().join(looks, "class")
+    starts = materialise(rare_starts(left, sets, least), "copies-starts")
+    meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("class_a") < F.col("class_b"))
+    # from a shared shingle on, at most what is left of the shorter rest is shared
+    after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = after >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - SLACK
+    rest = _side(starts, "a").join(_side(starts, "b"), meet & enough & _alike(least))
+    rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "copies-rest")
     links = links.unionByName(verified(rest, sets, least))
 
     roots = connected_components(links, "copies-all")

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from lexigrain.llm import nearcopies
 from lexigrain.llm.nearcopies import near_copies, shingle_set
 
 
@@ -59,3 +60,21 @@ def test_pipeline_drops_edited_appended_and_cut_copies(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {2, 304}
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base, texts = [f"w{rng.randrange(3000)}x" for _ in range(150)], []
+    for _ in range(240):
+        t = list(base)
+        for k in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = f"e{len(texts)}x{k}"
+        texts.append(" ".join(t))
+    common = " ".join(f"c{i}" for i in range(14))
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(8)) + ". " + common for _ in range(240)]
+    verified, asked = nearcopies.verified, []
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
+    assert got == dict(enumerate(components([set(shingle_set(t, 5).tolist()) for t in texts])))
+    assert sum(asked) < 20 * len(texts) and asked[-1] < len(texts)
