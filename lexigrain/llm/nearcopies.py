@@ -1,10 +1,18 @@
-"""Near copies by shingle sets: Jaccard similarity of word shingles, verified.
+"""Near copies by SimHash segments and shingle sets: Jaccard similarity of word shingles, verified.
 
 Texts with the same set of shingles are one class from the start.  A class has
-a MinHash signature of ``BANDS`` bands of ``ROWS`` values; classes that share a
-band are candidates, and a candidate is a link only if the similarity of the
-two whole sets of 64-bit shingle hashes reaches the bound.  A pair at 0.8
-shares no band with a chance of 1.3e-7, a closer one with less.
+a SimHash fingerprint of ``2 * WORDS`` segments of 32 bits, indexed as in
+``simhash`` under every one-deletion variant of each segment: classes with a
+segment that differs in at most one bit meet.  Each meets the next one of its
+bucket, so a bucket makes as many pairs as it has classes, and a pair is a link
+only if the similarity of the two whole sets of 64-bit shingle hashes reaches
+the bound.
+
+At 0.8 two fingerprints differ in 15 % of their bits, more than the segments
+can promise to find.  So the exact step looks further: a class also has a
+MinHash signature of ``BANDS`` bands of ``ROWS`` values, and classes that share a
+band are candidates too.  A pair at 0.8 shares no band with a chance of 1.3e-7,
+a closer one with less.
 
 Links serve to find components, so pairs that are connected already need no
 look.  Each class first meets the head of each of its bands, the class that
@@ -35,8 +43,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.llm.common import _splitmix, connected_components, id_text, join_on_key, materialise
-from lexigrain.llm.simhash import shingle_hashes
+from lexigrain.llm.simhash import fold, shingle_hashes, variants
 
+WORDS = 2
 BANDS, ROWS = 40, 5
 SKETCH, PLANES, MOST_VALUES = 3, 4, 68
 TURNS = 3
@@ -76,12 +85,22 @@ def sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=1).view(np.int64).reshape(-1)
 
 
-def _keys_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bands and sketch of a set; an empty one has no bands."""
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set as ``WORDS`` integers, each of hashes of its own."""
+    words = []
+    for _ in range(WORDS):
+        words.append(fold(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(29)
+    return np.array(words, np.uint64).view(np.int64)
+
+
+def _keys_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, bands and sketch of a set; an empty one has no fingerprint and no bands."""
     if not len(hashes):
-        return np.empty(0, np.int64), np.zeros(SKETCH * PLANES, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(SKETCH * PLANES, np.int64)
     low = signature(hashes)
-    return band_keys(low).view(np.int64), sketch(low)
+    return fingerprint(hashes), band_keys(low).view(np.int64), sketch(low)
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -93,25 +112,26 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, text_key, class, size, bands, sketch) for each row of ``docs``."""
+    """(doc_id, text_key, class, size, words, bands, sketch) for each row of ``docs``."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            bands, bits = zip(*map(_keys_and_sketch, sets), strict=True) if sets else ((), ())
+            words, bands, bits = zip(*map(_keys_and_sketch, sets), strict=True) if sets else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     b.column(2),
                     pa.array([_class_of(s) for s in sets], pa.int64()),
                     pa.array(map(len, sets), pa.int32()),
+                    pa.array(words, pa.list_(pa.int64())),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(bits, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "class", "size", "bands", "sketch"],
+                names=["doc_id", "text_key", "class", "size", "words", "bands", "sketch"],
             )
 
-    columns = "doc_id long, text_key long, class long, size int, bands array<long>, sketch array<long>"
+    columns = "doc_id long, text_key long, class long, size int, words array<long>, bands array<long>, sketch array<long>"
     return _keyed(docs, id_col, text_col).mapInArrow(run, columns)
 
 
@@ -137,6 +157,14 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(sized).where(both / (total - both) >= least).select("a", "b")
 
 
+def segment_pairs(known: DataFrame) -> DataFrame:
+    """(a, b): each class and the one before it among those whose fingerprints share a variant of a segment."""
+    words = known.select("class", F.posexplode("words").alias("word", "fp"))
+    index = variants(words).where("not whole").select("class", F.expr("shiftleft(cast(word as bigint), 40) | key").alias("key"))
+    before = F.lag("class").over(Window.partitionBy("key").orderBy("class"))
+    return index.select(before.alias("a"), F.col("class").alias("b")).where("a is not null").distinct()
+
+
 def _alike(least: float):
     """Whether sizes and sketches of the classes a and b leave room for a similarity of ``least``."""
     apart = 0
@@ -183,7 +211,7 @@ def near_copies(
     ``width``-word shingles have a Jaccard similarity of at least ``least``.
     """
     rows = materialise(classes(docs, id_col, text_col, width), "copies")
-    same = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
+    same = [F.first(c).alias(c) for c in ("size", "words", "bands", "sketch")]
     known = materialise(
         rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.count("*").alias("copies"), *same), "copies-classes"
     )
@@ -193,7 +221,7 @@ def near_copies(
     met = members.groupBy("class").agg(F.sum("n").alias("met"))
     heads = members.join(met, "class").groupBy("band").agg(F.max(F.struct("met", "class"))["class"].alias("head"))
     first = members.join(heads, "band").where("class <> head").select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b"))
-    tried = materialise(first.distinct(), "copies-first")
+    tried = materialise(segment_pairs(known).unionByName(first).distinct(), "copies-first")
     # the texts of classes that are in a pair or share a band are read again, one a class
     wanted = tried.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
     wanted = wanted.join(known.select("class", "text_key"), "class")

@@ -69,20 +69,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints within ``max_bits`` (at most 3)."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two segments guarantee at most 3 differing bits")
+def variants(fps: DataFrame) -> DataFrame:
+    """The rows of ``fps`` (fp and others) under both segments and their one-deletion variants: with key, whole and side.
+
+    Segments that differ in at most one bit share the key of a variant; side is the deleted bit.
+    """
     # slot 0 and 33: whole segment; the others: segment with bit (slot % 33 - 1) deleted
     slot = F.col("slot")
     bit = F.pmod(slot, F.lit(33)) - 1
     upper = slot >= 33
     segment = F.when(upper, F.expr("shiftrightunsigned(fp, 32)")).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    index = (
-        fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("slot"))
-        .select("fp", slot, bit.alias("bit"), segment.alias("seg"))
+    return (
+        fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("slot"))
+        .select(*fps.columns, slot, bit.alias("bit"), segment.alias("seg"))
         .select(
-            "fp",
+            *fps.columns,
             (F.col("bit") < 0).alias("whole"),
             F.when(F.col("bit") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftright(seg, bit) & 1L")).alias("side"),
             F.expr(
@@ -91,6 +92,13 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             ).alias("key"),
         )
     )
+
+
+def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints within ``max_bits`` (at most 3)."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two segments guarantee at most 3 differing bits")
+    index = variants(fps.select("fp"))
     a = index.where("whole or side = 0").select("key", "whole", F.col("fp").alias("a"))
     b = index.where("whole or side = 1").select(F.col("key").alias("key_b"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits

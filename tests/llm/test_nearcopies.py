@@ -62,6 +62,31 @@ def test_pipeline_drops_edited_appended_and_cut_copies(spark):
     assert kept == {2, 304}
 
 
+def linked_components(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        old, new = root[a], root[b]
+        root = [new if r == old else r for r in root]
+    return root
+
+
+def test_simhash_segments_bring_classes_together(spark):
+    texts = texts_with_copies(random.Random(8))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = nearcopies.classes(docs).dropDuplicates(["class"])
+    rows = known.select("class", "words").collect()
+    place = {r["class"]: i for i, r in enumerate(rows)}
+    segments = [[w >> s & 0xFFFFFFFF for w in r["words"] for s in (0, 32)] for r in rows]
+    near = [
+        (i, j) for i, a in enumerate(segments) for j, b in enumerate(segments[:i])
+        if any((x ^ y).bit_count() <= 1 for x, y in zip(a, b, strict=True))
+    ]
+    got = [(place[r["a"]], place[r["b"]]) for r in nearcopies.segment_pairs(known).collect()]
+    assert {(max(p), min(p)) for p in got} <= set(near) and len(near) > 40
+    want, have = linked_components(len(rows), near), linked_components(len(rows), got)
+    assert len(set(zip(want, have, strict=True))) == len(set(want)) == len(set(have))
+
+
 def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     rng = random.Random(9)
     base, texts = [f"w{rng.randrange(3000)}x" for _ in range(150)], []
