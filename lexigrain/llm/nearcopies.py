@@ -253,7 +253,8 @@ def near_copies(
     # from a shared shingle on, at most what is left of the shorter rest is shared
     after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     enough = after >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - SLACK
-    rest = _side(starts, "a").join(_side(starts, "b"), meet & enough & _alike(least))
+    # the file repeats each sketch at little cost, a broadcast of it would not
+    rest = _side(starts, "a").hint("merge").join(_side(starts, "b"), meet & enough & _alike(least))
     rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "copies-rest")
     links = links.unionByName(verified(rest, sets, least))
