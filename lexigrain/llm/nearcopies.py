@@ -15,10 +15,14 @@ band are candidates too.  A pair at 0.8 shares no band with a chance of 1.3e-7,
 a closer one with less.
 
 Links serve to find components, so pairs that are connected already need no
-look.  Each class first meets the head of each of its bands, the class that
-shares bands with most others (in a group of copies, that nearest to all), then
-in up to ``TURNS`` turns a class drawn from each band that still holds several
-components: as many pairs as classes in bands.  The classes of bands that still
+look.  A band has a head, the class that shares bands with most others (in a
+group of copies, that nearest to all).  Each class first meets one class only by
+each way, that of its segments with which it shares most buckets and that of its
+heads which shares bands with most, so a group of copies is one component after
+about two pairs a copy; then the others of its buckets and heads, where these
+are of other components, and in up to ``TURNS`` turns a class drawn from each
+band that still holds several: as many pairs as classes in bands.  New links
+join components, not classes, so no link is followed twice.  The classes of bands that still
 hold several components are then joined exactly, by prefixes: with all sets in
 one order, rare shingles first, two sets of a similarity of 0.8 share one of the
 first fifth of both, and its places bound what they can share.  A sentence that
@@ -158,11 +162,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def segment_pairs(known: DataFrame) -> DataFrame:
-    """(a, b): each class and the one before it among those whose fingerprints share a variant of a segment."""
+    """(a, b, shared): each class and those before it among the classes whose fingerprints share a variant of a segment, with how many they share."""
     words = known.select("class", F.posexplode("words").alias("word", "fp"))
     index = variants(words).where("not whole").select("class", F.expr("shiftleft(cast(word as bigint), 40) | key").alias("key"))
     before = F.lag("class").over(Window.partitionBy("key").orderBy("class"))
-    return index.select(before.alias("a"), F.col("class").alias("b")).where("a is not null").distinct()
+    return index.select(before.alias("a"), F.col("class").alias("b")).where("a is not null").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def _alike(least: float):
@@ -178,11 +182,22 @@ def _side(df: DataFrame, x: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns})
 
 
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of classes of two components, with root_a and root_b."""
+    sides = pairs.join(_side(roots, "a"), F.col("a") == F.col("class_a")).join(_side(roots, "b"), F.col("b") == F.col("class_b"))
+    return sides.where("root_a <> root_b").select("a", "b", "root_a", "root_b")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``roots`` (class, root) after more ``links`` (a, b); only components with a new link are looked at."""
+    edges = _between(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    over = connected_components(edges, "copies-links").withColumnRenamed("root", "to")
+    return materialise(roots.join(over, F.col("root") == F.col("node"), "left").select("class", F.coalesce("to", "root").alias("root")), "copies-roots")
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, class, root) of the bands that hold classes of several components."""
-    rooted = members.join(roots, F.col("class") == roots.node, "left").select(
-        "band", "class", F.coalesce("root", "class").alias("root")
-    )
+    rooted = members.join(roots, "class").select("band", "class", "root")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     return rooted.join(mixed, "band")
 
@@ -219,9 +234,14 @@ def near_copies(
     shared = index.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(index.join(shared, "band"), "copies-bands")
     met = members.groupBy("class").agg(F.sum("n").alias("met"))
-    heads = members.join(met, "class").groupBy("band").agg(F.max(F.struct("met", "class"))["class"].alias("head"))
-    first = members.join(heads, "band").where("class <> head").select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b"))
-    tried = materialise(segment_pairs(known).unionByName(first).distinct(), "copies-first")
+    heads = members.join(met, "class").groupBy("band").agg(F.max(F.struct("met", "class")).alias("head"))
+    led = members.join(heads, "band").where("class <> head.class")
+    led = led.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b"), F.col("class").alias("asks"), F.lit(True).alias("led"), F.col("head.met").alias("shared"))
+    asked = segment_pairs(known).select("a", "b", F.col("b").alias("asks"), F.lit(False).alias("led"), "shared").unionByName(led)
+    asked = materialise(asked.distinct(), "copies-asked")
+    best = asked.groupBy("asks", "led").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
+    best = materialise(best.select("best.a", "best.b").distinct(), "copies-first")
+    tried = asked.select("a", "b")
     # the texts of classes that are in a pair or share a band are read again, one a class
     wanted = tried.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
     wanted = wanted.join(known.select("class", "text_key"), "class")
@@ -234,8 +254,9 @@ def near_copies(
         sides = pairs.join(_side(looks, "a"), F.col("a") == F.col("class_a")).join(_side(looks, "b"), F.col("b") == F.col("class_b"))
         return materialise(verified(sides.where(_alike(least)).select("a", "b"), sets, least), "copies-linked")
 
-    links = linked(tried)
-    roots = connected_components(links, "copies-links")
+    roots = _merged(known.select("class", F.col("class").alias("root")), linked(best))
+    others = _between(tried.join(best, ["a", "b"], "left_anti"), roots).select("a", "b").distinct()
+    roots = _merged(roots, linked(others))
     for turn in range(TURNS):
         mixed = materialise(_mixed(members, roots), "copies-mixed")
         drawn = F.max(F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "root")).alias("head")
@@ -245,8 +266,7 @@ def near_copies(
         tried, more = tried.unionByName(met), linked(met)
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        roots = connected_components(links, "copies-links")
+        roots = _merged(roots, more)
     left = _mixed(members, roots).select("class", "root").distinct().join(looks, "class")
     starts = materialise(rare_starts(left, sets, least), "copies-starts")
     meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("class_a") < F.col("class_b"))
@@ -257,12 +277,9 @@ def near_copies(
     rest = _side(starts, "a").hint("merge").join(_side(starts, "b"), meet & enough & _alike(least))
     rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "copies-rest")
-    links = links.unionByName(verified(rest, sets, least))
+    roots = _merged(roots, verified(rest, sets, least))
 
-    roots = connected_components(links, "copies-all")
-    rooted = known.join(roots, F.col("class") == roots.node, "left").select(
-        "class", "copies", "first_id", F.coalesce("root", "class").alias("root")
-    )
+    rooted = known.select("class", "copies", "first_id").join(roots, "class")
     component = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialise(rooted.join(component, "root").select("class", "copies", "component_id"), "copies-named")
     return join_on_key(rows.select("doc_id", "class"), named, "class", "copies", "doc_id").select("doc_id", "component_id")

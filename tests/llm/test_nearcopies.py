@@ -103,3 +103,35 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
     assert got == dict(enumerate(components([set(shingle_set(t, 5).tolist()) for t in texts])))
     assert sum(asked) < 20 * len(texts) and asked[-1] < len(texts)
+
+
+def test_each_link_joins_two_components_once(spark, monkeypatch):
+    rng = random.Random(10)
+    base, texts = [f"w{rng.randrange(3000)}x" for _ in range(150)], []
+    for i in range(240):
+        t = list(base)
+        for k in range(rng.randrange(6)):
+            t[rng.randrange(len(t))] = f"e{i}x{k}"
+        texts.append(" ".join(t))
+    drift = [f"d{rng.randrange(3000)}x" for _ in range(150)]
+    for i in range(60):  # each is near the one before it, the last far from the first
+        drift[rng.randrange(150)] = f"d{i}y"
+        texts.append(" ".join(drift))
+    found, verified, merge, asked, joined = [], nearcopies.verified, nearcopies.connected_components, [], []
+
+    def seen(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    def followed(edges, *rest):
+        found.extend((r["a"], r["b"]) for r in edges.collect())
+        joined.append(edges.count())
+        return merge(edges, *rest)
+
+    monkeypatch.setattr(nearcopies, "verified", seen)
+    monkeypatch.setattr(nearcopies, "connected_components", followed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
+    assert got == dict(enumerate(components([set(shingle_set(t, 5).tolist()) for t in texts])))
+    assert all(a != b for a, b in found)
+    assert sum(joined) < 3 * len(texts) and sum(asked) < 6 * len(texts)
