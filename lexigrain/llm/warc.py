@@ -5,7 +5,9 @@ payload once under its SHA-256; ``records`` holds the exact header bytes of
 every record with that digest.  The original records, byte for byte, are the
 header, the payload of the digest (none for a revisit) and the closing blank
 lines, and come back through one join.  Reading computes the digest of every
-stored payload again and fails on a difference.
+stored payload again and fails on a difference.  It also counts length and
+SHA-1 once per stored payload, before that join, so a result that needs no
+payload sends none.
 
 Records with equal payloads of at least ``min_revisit_bytes`` are written once
 as ``response``, that with the smallest page_id, and as ``revisit`` otherwise.
@@ -94,12 +96,21 @@ def write_archive(
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, header, payload, has_payload): every record, with the payload its digest names."""
+    """(page_id, header, payload, has_payload, found_bytes, found_digest): every record, with the payload its digest names.
+
+    ``found_bytes`` and ``found_digest`` (base32 SHA-1) are counted from that payload.
+    """
     payloads = spark.read.parquet(f"{path}/payloads")
     payloads = payloads.select("digest", F.when(
         F.sha2("payload", 256) == F.col("digest"), F.col("payload")
     ).otherwise(F.raise_error(F.lit("a stored payload does not have its digest"))).alias("payload"))
-    return spark.read.parquet(f"{path}/records").join(payloads, "digest").select("page_id", "header", "payload", "has_payload")
+    payloads = payloads.select(
+        "digest",
+        "payload",
+        F.octet_length("payload").cast("long").alias("found_bytes"),
+        base32_sha1(F.col("payload")).alias("found_digest"),
+    )
+    return spark.read.parquet(f"{path}/records").join(payloads, "digest").select("page_id", "header", "payload", "has_payload", "found_bytes", "found_digest")
 
 
 def record_bytes(archive: DataFrame) -> DataFrame:
@@ -110,7 +121,7 @@ def record_bytes(archive: DataFrame) -> DataFrame:
 
 
 def parse_records(archive: DataFrame) -> DataFrame:
-    """Header fields of each record beside its payload."""
+    """Header fields of each record beside its payload and what was counted from it."""
     head = F.decode("header", "UTF-8")
     field = lambda k, v: F.nullif(F.regexp_extract(head, f"\\r\\n{k}: {v}\\r\\n", 1), F.lit(""))
     number = lambda k: F.expr("cast(null as bigint)") if k is None else field(k, "(\\d+)").cast("long")
@@ -122,18 +133,19 @@ def parse_records(archive: DataFrame) -> DataFrame:
         number("WARC-Payload-Length").alias("payload_bytes"),
         field("WARC-Refers-To", "<urn:x-page:(-?\\d+)>").cast("long").alias("refers_to"),
         "payload",
+        "found_bytes",
+        "found_digest",
     )
 
 
 def checked(records: DataFrame) -> DataFrame:
-    """Parsed ``records`` with length and digest counted again from the payload.
+    """Parsed ``records`` with length and digest as counted from the payload read.
 
     Fails where a header names others, so a lazy result reads every payload.
     """
-    size, digest = F.octet_length("payload").cast("long"), base32_sha1(F.col("payload"))
-    same = lambda found, told, what: F.when(found.eqNullSafe(F.col(told)), found).otherwise(
+    same = lambda found, told, what: F.when(F.col(found).eqNullSafe(F.col(told)), F.col(found)).otherwise(
         F.raise_error(F.lit(f"a payload does not have the {what} of its header")))
     return records.withColumns({
-        "payload_bytes": same(size, "payload_bytes", "length").cast("long"),
-        "payload_digest": same(digest, "payload_digest", "digest").cast("string"),
-    })
+        "payload_bytes": same("found_bytes", "payload_bytes", "length").cast("long"),
+        "payload_digest": same("found_digest", "payload_digest", "digest").cast("string"),
+    }).drop("found_bytes", "found_digest")
