@@ -151,14 +151,14 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of classes whose sets have a similarity of at least ``least``."""
+    """The ``pairs`` (a, b and other columns) of classes whose sets have a similarity of at least ``least``."""
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("hashes_a"))
     right = sets.select(F.col("class").alias("b"), F.col("hashes").alias("hashes_b"))
     both = F.size(F.array_intersect("hashes_a", "hashes_b"))
     total = F.size("hashes_a") + F.size("hashes_b")
     # divisions round correctly, so a similarity of exactly ``least`` is met
     sized = F.least(F.size("hashes_a"), F.size("hashes_b")) / F.greatest(F.size("hashes_a"), F.size("hashes_b")) >= least
-    return pairs.join(left, "a").join(right, "b").where(sized).where(both / (total - both) >= least).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(sized).where(both / (total - both) >= least).select(*pairs.columns)
 
 
 def segment_pairs(known: DataFrame) -> DataFrame:
@@ -182,17 +182,18 @@ def _side(df: DataFrame, x: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns})
 
 
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of classes of two components, with root_a and root_b."""
+def _between(pairs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of classes of two components that may be links, with root_a and root_b."""
     sides = pairs.join(_side(roots, "a"), F.col("a") == F.col("class_a")).join(_side(roots, "b"), F.col("b") == F.col("class_b"))
-    return sides.where("root_a <> root_b").select("a", "b", "root_a", "root_b")
+    return sides.where("root_a <> root_b").where(_alike(least)).select("a", "b", "root_a", "root_b")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The ``roots`` (class, root) after more ``links`` (a, b); only components with a new link are looked at."""
-    edges = _between(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    """The ``roots`` (class, root, size, sketch) after more ``links`` (root_a, root_b); only components with a new link are looked at."""
+    edges = links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     over = connected_components(edges, "copies-links").withColumnRenamed("root", "to")
-    return materialise(roots.join(over, F.col("root") == F.col("node"), "left").select("class", F.coalesce("to", "root").alias("root")), "copies-roots")
+    moved = roots.join(over, F.col("root") == F.col("node"), "left")
+    return materialise(moved.select("class", F.coalesce("to", "root").alias("root"), "size", "sketch"), "copies-roots")
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -248,26 +249,25 @@ def near_copies(
     texts = _keyed(docs, id_col, text_col).select("text_key", "text").join(wanted, "text_key").dropDuplicates(["class"])
     sets = materialise(shingle_sets(texts, width), "copies-sets")
 
-    looks = known.select("class", "size", "sketch")
+    def linked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        return materialise(verified(_between(pairs, roots, least), sets, least), "copies-linked")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(_side(looks, "a"), F.col("a") == F.col("class_a")).join(_side(looks, "b"), F.col("b") == F.col("class_b"))
-        return materialise(verified(sides.where(_alike(least)).select("a", "b"), sets, least), "copies-linked")
-
-    roots = _merged(known.select("class", F.col("class").alias("root")), linked(best))
-    others = _between(tried.join(best, ["a", "b"], "left_anti"), roots).select("a", "b").distinct()
-    roots = _merged(roots, linked(others))
+    roots = known.select("class", F.col("class").alias("root"), "size", "sketch")
+    roots = _merged(roots, linked(best, roots))
+    roots = _merged(roots, linked(tried.join(best, ["a", "b"], "left_anti").distinct(), roots))
+    mixed = materialise(_mixed(members, roots), "copies-mixed")
     for turn in range(TURNS):
-        mixed = materialise(_mixed(members, roots), "copies-mixed")
         drawn = F.max(F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "root")).alias("head")
         met = mixed.join(mixed.groupBy("band").agg(drawn), "band").where("root <> head.root")
         met = met.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
         met = materialise(met.join(tried, ["a", "b"], "left_anti"), "copies-turn")
-        tried, more = tried.unionByName(met), linked(met)
+        tried, more = tried.unionByName(met), linked(met, roots)
         if more.isEmpty():
             break
         roots = _merged(roots, more)
-    left = _mixed(members, roots).select("class", "root").distinct().join(looks, "class")
+        mixed = materialise(_mixed(members, roots), "copies-mixed")
+    # what has been found so far is stored, so the steps below read it and do not find it again
+    left = materialise(mixed.select("class").distinct().join(roots, "class"), "copies-left")
     starts = materialise(rare_starts(left, sets, least), "copies-starts")
     meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("class_a") < F.col("class_b"))
     # from a shared shingle on, at most what is left of the shorter rest is shared
@@ -275,7 +275,7 @@ def near_copies(
     enough = after >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - SLACK
     # the file repeats each sketch at little cost, a broadcast of it would not
     rest = _side(starts, "a").hint("merge").join(_side(starts, "b"), meet & enough & _alike(least))
-    rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "root_a", "root_b").distinct()
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "copies-rest")
     roots = _merged(roots, verified(rest, sets, least))
 

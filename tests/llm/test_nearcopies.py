@@ -135,3 +135,24 @@ def test_each_link_joins_two_components_once(spark, monkeypatch):
     assert got == dict(enumerate(components([set(shingle_set(t, 5).tolist()) for t in texts])))
     assert all(a != b for a, b in found)
     assert sum(joined) < 3 * len(texts) and sum(asked) < 6 * len(texts)
+
+
+def test_no_step_repeats_the_shuffles_of_another(spark, monkeypatch):
+    """The driver's memory grows with shuffles and their tasks: 114 of these plans here when each step joined components and looks anew."""
+    store, shuffles = nearcopies.materialise, []
+
+    def counted(df, label):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return store(df, label)
+
+    monkeypatch.setattr(nearcopies, "materialise", counted)
+    monkeypatch.setattr(nearcopies, "TURNS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = texts_with_copies(random.Random(11))[:60]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == dict(enumerate(components([set(shingle_set(t, 5).tolist()) for t in texts])))
+    assert sum(shuffles) < 100
