@@ -28,6 +28,39 @@ def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+# What ends a record and a key in a file of several texts, and the mark before their stand-ins.
+RECORD, FIELD, MARK = "\x1e", "\x1f", "\x1b"
+_STAND_INS = ((MARK, f"{MARK}A"), (RECORD, f"{MARK}B"), (FIELD, f"{MARK}C"))
+_NULL = f"{MARK}N"
+TEXTS_PER_FILE, LONG_TEXT = 200, 1 << 20
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """Writes (key, text) to files of ``TEXTS_PER_FILE`` rows, texts of ``LONG_TEXT`` and more to files of their own.
+
+    Line ends stay as they are; the marks between rows have stand-ins where a text holds them.  So there
+    are far fewer files than texts, and none is too large to be read whole.
+    """
+    value = F.concat_ws(FIELD, *[F.coalesce(_marked(c, _STAND_INS), F.lit(_NULL)) for c in ("key", "text")])
+    short = F.coalesce(F.length("text") < LONG_TEXT, F.lit(True))
+    for rows, most, part in ((texts.where(short), TEXTS_PER_FILE, "short"), (texts.where(~short), 1, "long")):
+        rows.select(value.alias("value")).write.option("lineSep", RECORD).option("maxRecordsPerFile", most).text(f"{folder}/{part}")
+
+
+def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, text) of what ``write_texts`` has written, each file read whole."""
+    rows = read_texts(spark, f"{folder}/*/part-*").select(F.explode(F.split("text", RECORD)).alias("row")).where("row <> ''")
+    parts = [F.get(F.split("row", FIELD), F.lit(i)) for i in (0, 1)]
+    return rows.select(*[F.when(x != _NULL, _marked(x, [p[::-1] for p in reversed(_STAND_INS)])).alias(c) for x, c in zip(parts, ("key", "text"), strict=True)])
+
+
+def _marked(c: Column | str, pairs) -> Column:
+    out = F.col(c) if isinstance(c, str) else c
+    for old, new in pairs:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
 def stem(path: Column | str) -> Column:
     p = F.col(path) if isinstance(path, str) else path
     return F.regexp_replace(F.regexp_extract(F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1), r"\.[^.]*$", "")

@@ -164,3 +164,13 @@ def test_jurisdictions(spark, tmp_path):
     assert aliases.where("alias = 'prc'").first()["id"] == "CN"
     (tmp_path / "j.json").write_text(json.dumps({"jurisdictions": [{"id": "X", "canonical": "Xland", "aliases": ["XX"]}], "sentinels": [{"id": "S"}]}))
     assert src.load_jurisdictions(spark, f"{tmp_path}/j.json")[1].count() == 2
+
+
+def test_texts_share_files_and_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "LONG_TEXT", 1000)
+    odd = ["x\r\ny\rz é", " \n", "a|b||", f"{src.RECORD}{src.FIELD}{src.MARK}", f"{src.MARK}B{src.MARK}AC", "w" * 1000, "w" * 1500, "😀\n\n"]
+    rows = [(f"k{src.FIELD}{i}", odd[i % len(odd)]) for i in range(598)] + [(None, "no key"), ("no text", None)]
+    texts = spark.createDataFrame(rows, "key string, text string").coalesce(1)
+    src.write_texts(texts, f"file://{tmp_path}/t")
+    assert sorted(map(tuple, src.read_bundles(spark, f"file://{tmp_path}/t").collect()), key=str) == sorted(rows, key=str)
+    assert len(list(tmp_path.glob("t/short/part-*"))) == 3 and len(list(tmp_path.glob("t/long/part-*"))) == sum(len(x or "") >= 1000 for _, x in rows)
