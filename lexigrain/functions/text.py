@@ -52,6 +52,34 @@ def words_with_space(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(f"(?U){NOT_SPACE}+{SPACE}*"), F.lit(0))
 
 
+def single_words(text: Column | str) -> Column:
+    """What each single blank or line end parts, with it (the last one gets a line end): words may be empty, an empty text has none."""
+    t = _col(text)
+    return F.when(F.length(t) > 0, F.regexp_extract_all(F.concat(t, F.lit("\n")), F.lit("[^ \n]*[ \n]"), F.lit(0)))
+
+
+def single_count(text: Column | str) -> Column:
+    """One more than there are blanks and line ends."""
+    t = _col(text)
+    rest = F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    return F.length(t) - F.length(rest) + 1
+
+
+def single_starts(text: Column | str, start: Column, stop: Column) -> Column:
+    """How many of ``single_words`` begin in [start, stop)."""
+    t = _col(text)
+    first = ((start <= 0) & (stop > 0) & (F.length(t) > 0)).cast("int")
+    return first + single_count(slice_text(t, F.greatest(start, F.lit(1)) - 1, stop - 1)) - 1
+
+
+def word_starts(text: Column | str, start: Column, stop: Column) -> Column:
+    """How many words begin in [start, stop)."""
+    t = _col(text)
+    before = F.greatest(start, F.lit(0)) - 1
+    part = F.when(before < 0, F.concat(F.lit(" "), slice_text(t, F.lit(0), stop))).otherwise(slice_text(t, before, stop))
+    return F.regexp_count(part, F.lit(f"(?U)(?<={SPACE}){NOT_SPACE}"))
+
+
 def word_count(text: Column | str) -> Column:
     return F.size(F.regexp_extract_all(_col(text), F.lit(f"(?U){NOT_SPACE}+"), F.lit(0)))
 
