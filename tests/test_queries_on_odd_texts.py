@@ -11,7 +11,7 @@ from lexigrain.plans import registry
 
 ODD = [" lead", "trail ", "two  blanks  in it", "\n\n", " ", "", None, "tab\tand\r\nline end\n", "a\xa0b \u3000", "1. TERM. x\n\n2.1 LAW. y  3. Z end", "ARTICLE IV\nThe text.  ",
        "w " * 600, "  " + "x y\n" * 700, "\n".join(["word"] * 1000) + "\n\n", "plain words in a row", "é😀 ü\n ß", "  12. Begin here " * 60, "x" * 70 + "  " + "y" * 30]
-NAMES = "A24_length_stats C12_chunk_content_hash C17_with_context C5_word_tokens C9_chunks C9d_hard_split C9f_trim S15_replace_chunks C7_tokens_in_range".split()
+NAMES = "A24_length_stats C12_chunk_content_hash C5_word_tokens C7_tokens_in_range C8_headings C9_chunks C9a_sections C9d_hard_split C9f_trim C17_with_context S15_replace_chunks".split()
 
 
 @pytest.fixture(scope="module")
