@@ -60,7 +60,7 @@ def _(t: Inputs):
 
 @query("R3_lexical_search", f"WITH {LEXICAL} SELECT query_id, chunk_id, round(score, 9) AS score, pos FROM lexr WHERE pos <= 50")
 def _(t: Inputs):
-    r = rt.lexical_search(_post(t), t.queries)
+    r = rt.lexical_scan(t.docs, t.queries, id_col="document_id")
     return r.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
