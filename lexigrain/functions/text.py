@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space and the separators U+001C to U+001F, as Python's \s has it
 SPACE = "[\\s\\x{1c}-\\x{1f}]"
 NOT_SPACE = "[^\\s\\x{1c}-\\x{1f}]"
+_NO_KEY = re.compile(r"[\W_]+")  # all but what str.isalnum() has for letters and digits
 
 
 def _col(c: Column | str) -> Column:
@@ -95,25 +96,24 @@ def or_query(query: Column | str) -> Column:
     return F.when(F.size(terms) > 0, F.array_join(terms, " | "))
 
 
+def by_rows(kind: str, f: Callable):
+    """A Python function of whole texts.
+
+    Spark sends it a hundred rows at a time: an Arrow batch holds ten thousand, of texts several hundred MB for a worker.
+    """
+    return F.udf(f, kind, useArrow=False)
+
+
 def document_key(names: Column | str) -> Column:
     """Unicode NFC, the key of documents and titles."""
 
-    @F.pandas_udf("string")
-    def nfc(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
-
-    return nfc(names)
+    return by_rows("string", lambda s: None if s is None else unicodedata.normalize("NFC", s))(names)
 
 
 def relaxed_key(names: Column | str) -> Column:
     """NFC, case-folded, letters and digits only."""
 
-    @F.pandas_udf("string")
-    def key(values: pd.Series) -> pd.Series:
-        fold = lambda s: "".join(c for c in unicodedata.normalize("NFC", s).casefold() if c.isalnum())
-        return values.map(lambda s: None if s is None else fold(s))
-
-    return key(names)
+    return by_rows("string", lambda s: None if s is None else _NO_KEY.sub("", unicodedata.normalize("NFC", s).casefold()))(names)
 
 
 def span_status(source: Column | str, start: Column | str, gold: Column | str) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +38,7 @@ _LOOSE = "start int, stop int, n int, elided boolean"
 
 
 def _loose(texts: Column, quotes: Column) -> Column:
-    @F.pandas_udf(_LOOSE)
-    def locate(t: pd.Series, q: pd.Series) -> pd.DataFrame:
-        rows = [(None if x is None or y is None else locate_loosely(x, y)) or (None,) * 4 for x, y in zip(t, q, strict=True)]
-        kinds = {"start": "Int32", "stop": "Int32", "n": "Int32", "elided": "boolean"}
-        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
-
-    return locate(texts, quotes)
+    return tx.by_rows(_LOOSE, lambda t, q: None if t is None or q is None else locate_loosely(t, q))(texts, quotes)
 
 
 def check_evidence(evidence: DataFrame, docs: DataFrame) -> DataFrame:
